@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
@@ -25,14 +26,17 @@ def vector_size(dataset: DataFrame, column: str = "features") -> int:
 
 
 def make_models(is_clf: bool, n_features: int, pca: Sequence[int] = PCA_SIZES, trees: Sequence[int] = FOREST_SIZES,
-                max_depth: int = 30, seed: int = 42) -> dict[str, Pipeline]:
+                max_depth: int = 30, seed: int = 42, memory_mb: int = 512) -> dict[str, Pipeline]:
     """``PCA_k-RF_n`` pipelines. ``k`` is capped at the vector size, the name keeps the request.
 
-    Forests grow to ``max_depth``; 30 is the deepest Spark allows.
+    Forests grow to ``max_depth``; 30 is the deepest Spark allows. ``memory_mb`` bounds the
+    statistics one task gathers per pass: more of it means fewer passes over the training rows.
+    Deep forests keep each row's node ids on the executors instead of shipping the grown trees with
+    every job; Spark checkpoints these ids into ``spark.checkpoint.dir``.
     """
     def forest(n):
         kwargs = dict(featuresCol="components", labelCol="label", predictionCol="pred", numTrees=n,
-                      maxDepth=max_depth, seed=seed)
+                      maxDepth=max_depth, seed=seed, maxMemoryInMB=memory_mb, cacheNodeIds=True)
         if is_clf:
             return RandomForestClassifier(featureSubsetStrategy="sqrt", **kwargs)
         return RandomForestRegressor(featureSubsetStrategy="all", **kwargs)
@@ -54,20 +58,26 @@ def fit_predict(dataset: DataFrame, model: Pipeline, on: str = "val") -> DataFra
 
 
 def evaluate_models(dataset: DataFrame, models: dict[str, Pipeline], is_clf: bool, on: str = "val",
-                    family: str | None = None, keep_predictions=None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Predictions per model, and one metric table. The dataset is cached while the models fit.
+                    family: str | None = None, keep_predictions=None,
+                    parallelism: int = 8) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Predictions per model, and one metric table.
 
-    ``keep_predictions(df, name)`` may store a prediction table and return the stored one, so that
-    metrics read the table instead of predicting again.
+    The dataset is cached while the models fit, ``parallelism`` of them at a time, so that the short
+    jobs of one forest's deep levels leave no executors idle. ``keep_predictions(df, name)`` may
+    store a prediction table and return the stored one; metrics then read that table.
     """
     family = family or ("clf" if is_clf else "regr")
     cached = dataset.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @inheritable_thread_target(dataset.sparkSession)
+    def scored(name):
+        predictions = fit_predict(cached, models[name], on)
+        return keep_predictions(predictions, name) if keep_predictions else predictions
+
     try:
-        predictions, rows = {}, []
-        for name, model in models.items():
-            scored = fit_predict(cached, model, on)
-            predictions[name] = keep_predictions(scored, name) if keep_predictions else scored
-            rows.append(tagged(evaluate(predictions[name], is_clf, ["split"]), name, "predicted", family))
-        return predictions, stack_metrics(rows)
+        with ThreadPool(min(parallelism, len(models))) as pool:
+            predictions = dict(zip(models, pool.map(scored, list(models), chunksize=1)))
     finally:
         cached.unpersist()
+    rows = [tagged(evaluate(p, is_clf, ["split"]), name, "predicted", family) for name, p in predictions.items()]
+    return predictions, stack_metrics(rows)

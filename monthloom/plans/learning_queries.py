@@ -185,26 +185,35 @@ def vectors(spark, sf, name: str, bins="groups"):
     return assemble(split, categories)
 
 
+def _grid(spark, sf, name: str):
+    """Validation metrics of all models of a task; their predictions are stored on the way."""
+    task, data = TASKS[name], vectors(spark, sf, name)
+    store = ResultStore(spark, scratch_path(spark, "results"))
+    models = make_models(task.is_clf, vector_size(data))
+    return evaluate_models(data, models, task.is_clf, family=task.kind,
+                           keep_predictions=lambda p, model: store.save_predictions(p, name, model))[1]
+
+
 @query("rf_grid_clf")
 def rf_grid_clf(spark, sf):
-    data = vectors(spark, sf, "clf_6")
-    return evaluate_models(data, make_models(True, vector_size(data)), True)[1]
+    return _grid(spark, sf, "clf_6")
 
 
 @query("rf_grid_regr")
 def rf_grid_regr(spark, sf):
-    data = vectors(spark, sf, "regr_6")
-    return evaluate_models(data, make_models(False, vector_size(data)), False)[1]
+    return _grid(spark, sf, "regr_6")
 
 
 @query("final_model")
 def final_model(spark, sf):
     """The chosen model of each half-year task on the test split, next to the baseline."""
+    store = ResultStore(spark, scratch_path(spark, "results"))
     rows = []
     for name in ("clf_6", "regr_6", "regrdiff_6"):
         task, data = TASKS[name], vectors(spark, sf, name)
         chosen = {name: make_models(task.is_clf, vector_size(data))[FINAL_MODEL]}
-        rows.append(evaluate_models(data, chosen, task.is_clf, on="test", family=task.kind)[1])
+        rows.append(evaluate_models(data, chosen, task.is_clf, on="test", family=task.kind,
+                                    keep_predictions=lambda p, model: store.save_predictions(p, model, FINAL_MODEL))[1])
         base = baseline_metrics(data, task.is_clf).where(F.col("split") == "test")
         rows.append(tagged(base, name, "baseline", task.kind))
     return stack_metrics(rows)

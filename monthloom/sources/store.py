@@ -35,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="monthloom-")
     spark.conf.set("spark.checkpoint.dir", made)
+    spark.sparkContext.setCheckpointDir(made)
     return made
 
 
