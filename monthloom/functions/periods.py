@@ -38,7 +38,7 @@ class PeriodSpec:
 
     # ---- columns -------------------------------------------------------
     def bucket(self, mon="mon") -> Column:
-        return F.floor((F.col(mon) - 1) / F.lit(self.n_months)).cast("int")
+        return F.expr(f"(`{mon}` - 1) div {self.n_months}").cast("int")
 
     def ordinal_column(self, year="year", mon="mon") -> Column:
         """Running period number; consecutive periods differ by one, also across years."""

@@ -80,21 +80,31 @@ def recode_rows(panel: DataFrame, rules: CleaningRules) -> DataFrame:
             .withColumn("wtit", title_rank(F.col(rules.wtit_source), WOMEN_TITLES)))
 
 
-def clean_panel(panel: DataFrame, rules: CleaningRules) -> DataFrame:
+def cleaning_exceptions(panel: DataFrame, rules: CleaningRules) -> DataFrame:
+    """``id, conflict, known_birth`` of entities with several sexes or a row lacking a usable birth year.
+
+    The aggregate combines map-side, so no entity's rows have to meet in one task.
+    """
+    b = F.col("birth_year")
+    return (panel.groupBy("id")
+            .agg(conflicting_sex().alias("conflict"),
+                 F.max(rules.donor(b)).alias("known_birth"),
+                 F.bool_or(~rules.keeps_own(b)).alias("gap"))
+            .where("conflict or gap")
+            .select("id", "conflict", "known_birth"))
+
+
+def clean_panel(panel: DataFrame, rules: CleaningRules, exceptions: DataFrame | None = None) -> DataFrame:
     """Drop sex changes, repair birth years, filter ages, recode flags and titles.
 
-    Only exceptional entities (conflicting sex, or a row without usable birth year) enter the
-    join. They are found by a map-side-combined aggregate, so no entity's rows ever have to
-    meet in one task, and the join is left to AQE: broadcast when the exceptions turn out small,
-    otherwise sort-merge with skewed partitions split.
+    Only exceptional entities enter the join. Pass them as a stored table
+    (``cut_lineage(cleaning_exceptions(...))``) and the planner knows their size: it broadcasts them
+    when they are below ``spark.sql.autoBroadcastJoinThreshold`` and the panel is not shuffled at
+    all. Otherwise the join is a sort-merge join whose skewed partitions AQE splits.
     """
     b = F.col("birth_year")
-    exceptions = (panel.groupBy("id")
-                  .agg(conflicting_sex().alias("conflict"),
-                       F.max(rules.donor(b)).alias("known_birth"),
-                       F.bool_or(~rules.keeps_own(b)).alias("gap"))
-                  .where("conflict or gap")
-                  .select("id", "conflict", "known_birth"))
+    if exceptions is None:
+        exceptions = cleaning_exceptions(panel, rules)
     repaired = (panel.join(exceptions, "id", "left")
                 .where(~F.coalesce(F.col("conflict"), F.lit(False)))
                 .withColumn("birth_year", F.when(rules.keeps_own(b), b).otherwise(F.col("known_birth")))

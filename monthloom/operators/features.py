@@ -103,10 +103,22 @@ def composite_values(panel: DataFrame, columns: Sequence[str], period: PeriodSpe
 # ---- wide ----------------------------------------------------------------
 
 
-def _cells_wide(specs, period, ordinals) -> list[Column]:
-    """Pick each (feature, period) cell out of rows that hold at most one row per period."""
-    return [F.max(F.when(F.col("period_ord") == o, F.col(s.name))).alias(s.cell_name(period, o))
-            for s in specs for o in ordinals]
+def _cell_map(specs) -> Column:
+    """Aggregate: the entity's cells keyed by period. Holds at most one entry per period."""
+    return F.map_from_entries(F.collect_list(F.struct("period_ord", F.struct(*[s.name for s in specs]))))
+
+
+def _cells_from_map(cells: Column, specs, period, ordinals) -> list[Column]:
+    return [F.try_element_at(cells, F.lit(o))[s.name].alias(s.cell_name(period, o)) for s in specs for o in ordinals]
+
+
+def _pivot(cells: DataFrame, specs, period, ordinals) -> DataFrame:
+    """Spread cells over the listed periods; naming them spares the job that would look for them."""
+    names = [s.name for s in specs]
+    wide = cells.groupBy("id").pivot("period_ord", list(ordinals)).agg(*[F.max(n).alias(n) for n in names])
+    single = len(names) == 1  # Spark then leaves the aggregate's name out
+    return wide.select("id", *[
+        F.col(f"`{o}`" if single else f"`{o}_{s.name}`").alias(s.cell_name(period, o)) for s in specs for o in ordinals])
 
 
 def _decode_wide(wide: DataFrame, specs, period, ordinals) -> DataFrame:
@@ -145,19 +157,14 @@ def wide_features(panel: DataFrame, specs: Sequence[FeatureSpec], period: Period
             s.builder()(F.when(o == p, F.col(s.column))).alias(s.cell_name(period, p))
             for s in specs for p in ordinals])
     elif strategy == "joined":
-        blocks = []
-        for s in specs:
-            pivoted = (long_features(rows, [s], period, decode=False)
-                       .groupBy("id").pivot("period_ord", list(ordinals)).agg(F.max(s.name)))
-            blocks.append(pivoted.select("id", *[
-                F.col(f"`{o}`").alias(s.cell_name(period, o)) for o in ordinals]))
+        blocks = [_pivot(long_features(rows, [s], period, decode=False), [s], period, ordinals) for s in specs]
         wide = reduce(lambda a, b: a.join(b, "id"), blocks)
     else:
         if strategy == "cluster":
             cells = long_features(rows.repartition("id"), specs, period, decode=False)
         else:
             cells = long_features(rows, specs, period, decode=False).repartition("id")
-        wide = cells.groupBy("id").agg(*_cells_wide(specs, period, ordinals))
+        wide = _pivot(cells, specs, period, ordinals)
     return _decode_wide(wide, specs, period, ordinals)
 
 
@@ -198,18 +205,18 @@ def feature_table(panel: DataFrame, rules: CleaningRules, period: PeriodSpec, or
         pick(donor, at).alias("own_birth"),
     ]
     cells = long_features(rows, specs, period, extra=evidence, decode=False).repartition("id")
-    # Cleaning looks at all months; only the wanted periods become columns.
+    # Cleaning looks at all months, also at those outside ``ordinals``.
     wide = (cells.groupBy("id")
             .agg(F.coalesce(F.min("sex_low") != F.max("sex_high"), F.lit(False)).alias("sex_conflict"),
                  pick(F.col("sex_code"), F.col("at")).alias("sex_code"),
                  pick(F.col("k"), F.col("at")).alias("k"),
                  pick(F.col("own_birth"), F.col("at")).alias("own_birth"),
                  F.max("known_birth").alias("known_birth"),
-                 *_cells_wide(specs, period, ordinals))
+                 _cell_map(specs).alias("cells"))
             .where(~F.col("sex_conflict") & F.col("known_birth").isNotNull()))
     age = age_in(rules.ref_year, F.coalesce("own_birth", "known_birth"))
-    names = [s.cell_name(period, o) for s in specs for o in ordinals]
-    shaped = wide.select("id", domain_value(F.col("sex_code"), SEXES).alias("sex"), "k", age.alias("age"), *names)
+    shaped = wide.select("id", domain_value(F.col("sex_code"), SEXES).alias("sex"), "k", age.alias("age"),
+                         *_cells_from_map(F.col("cells"), specs, period, ordinals))
     return _decode_wide(shaped, specs, period, ordinals)
 
 

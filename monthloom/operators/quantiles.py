@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, value: str, by: str, categories: Sequence, probs: Sequence[float],
-                    accuracy: int = 20_000) -> DataFrame:
+                    accuracy: int = 10_000) -> DataFrame:
     """``by, n, q1, q2, …``: linearly interpolated quantiles for each category in ``categories``.
 
     1. A mergeable sketch per category brackets each wanted rank (error at most ``1/accuracy`` of
        the rows; the bracket is eight times wider, and spans everything in small categories).
-    2. One pass counts the rows below each bracket and collapses the rows inside it by value.
-    3. Only those collapsed rows are ranked.
+    2. One pass collapses rows inside a bracket by value and rows in each gap between brackets to
+       a single count.
+    3. A running sum over that small table gives exact ranks.
 
-    The bracket table has one row per listed category, which bounds what is broadcast.
+    Both passes combine map-side. The bracket table has one row per listed category, which bounds
+    what is broadcast.
     """
+    probs = sorted(probs)
+    wanted = range(len(probs))
     data = (df.where(F.col(by).isin(list(categories)) & F.col(value).isNotNull())
             .select(F.col(by).alias("c"), F.col(value).cast("double").alias("v")))
     margin = 8.0 / accuracy
@@ -27,32 +32,34 @@ def exact_quantiles(df: DataFrame, value: str, by: str, categories: Sequence, pr
         F.count("*").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
         F.percentile_approx("v", bounds, accuracy).alias("b"))
     small = F.col("n") <= accuracy // 2
-    brackets = sketch.select("c", "n", F.array(*[
-        F.struct(F.lit(i).alias("i"),
-                 F.when(small, F.col("mn")).otherwise(F.col("b")[2 * i]).alias("lo"),
-                 F.when(small, F.col("mx")).otherwise(F.col("b")[2 * i + 1]).alias("hi"),
-                 (F.lit(float(p)) * (F.col("n") - 1)).alias("h"))
-        for i, p in enumerate(probs)]).alias("brackets"))
+    brackets = sketch.select(
+        "c", "n",
+        *[F.when(small, F.col("mn")).otherwise(F.col("b")[2 * i]).alias(f"lo{i}") for i in wanted],
+        *[F.when(small, F.col("mx")).otherwise(F.col("b")[2 * i + 1]).alias(f"hi{i}") for i in wanted])
 
-    # A value below a bracket adds to the bracket's base count (v = NULL); one inside keeps its value.
-    hits = (data.join(F.broadcast(brackets), "c")
-            .select("c", "v", "n", F.explode("brackets").alias("k"))
-            .where(F.col("v") <= F.col("k.hi"))
-            .groupBy("c", "n", "k.i", "k.h", F.when(F.col("v") >= F.col("k.lo"), F.col("v")).alias("v"))
-            .agg(F.count("*").alias("m")))
-    order = Window.partitionBy("c", "i").orderBy(F.col("v").asc_nulls_first())
-    ranked = hits.withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    holds = lambda r: F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("m") <= r), F.col("v")))
-    low, high = F.floor("h"), F.ceil("h")
-    picked = (ranked.groupBy("c", "n", "i", "h").agg(holds(low).alias("a"), holds(high).alias("z"))
-              .withColumn("q", F.col("a") + (F.col("h") - F.floor("h")) * (F.col("z") - F.col("a")))
-              .withColumn("q", F.when(F.col("q").isNotNull(), F.col("q"))
-                          .otherwise(F.raise_error(F.lit("quantile rank outside its bracket; raise accuracy")))))
-    return picked.groupBy(F.col("c").alias(by), "n").agg(*[
-        F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i + 1}") for i in range(len(probs))])
+    v = F.col("v")
+    inside = reduce(lambda a, b: a | b, [v.between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in wanted])
+    gap = reduce(lambda a, b: a + b, [(v > F.col(f"hi{i}")).cast("int") for i in wanted])
+    collapsed = (data.join(F.broadcast(brackets), "c")
+                 .groupBy("c", "n", F.when(inside, v).alias("q"), F.when(~inside, gap).alias("gap"))
+                 .agg(F.count("*").alias("m"), F.min("v").alias("position")))
+    in_order = Window.partitionBy("c").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = collapsed.withColumn("upto", F.sum("m").over(in_order))
+
+    def at(rank):
+        found = F.min(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("m") <= rank), F.col("q")))
+        return F.coalesce(found, F.raise_error(F.lit("quantile rank outside its bracket; raise accuracy")).cast("double"))
+
+    def quantile(p):
+        h = F.lit(float(p)) * (F.col("n") - 1)
+        low = at(F.floor(h))
+        return low + (h - F.floor(h)) * (at(F.ceil(h)) - low)
+
+    return ranked.groupBy(F.col("c").alias(by), "n").agg(*[
+        quantile(p).alias(f"q{i + 1}") for i, p in enumerate(probs)])
 
 
-def box_stats(df: DataFrame, value: str, by: str, categories: Sequence, accuracy: int = 20_000) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str, categories: Sequence, accuracy: int = 10_000) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the last values within 1.5 IQR, outlier count."""
     quartiles = exact_quantiles(df, value, by, categories, (0.25, 0.5, 0.75), accuracy)
     iqr = F.col("q3") - F.col("q1")
@@ -68,7 +75,7 @@ def box_stats(df: DataFrame, value: str, by: str, categories: Sequence, accuracy
                  F.count_if(~inside).alias("outliers")))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], accuracy: int = 20_000) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column."""
     cells = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("p")

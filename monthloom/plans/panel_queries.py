@@ -8,7 +8,8 @@ from monthloom.functions.periods import PeriodSpec, month_label, parse_label
 from monthloom.functions.scalars import active_indicator, is_active, or_none, recode_flag, title_rank
 from monthloom.model import TITLES, WOMEN_TITLES
 from monthloom.operators import checks, profile
-from monthloom.operators.clean import CleaningRules, clean_panel, drop_sex_changes, fix_birth_years
+from monthloom.operators.clean import (CleaningRules, clean_panel, cleaning_exceptions, drop_sex_changes,
+                                       fix_birth_years)
 from monthloom.operators.dedup import first_per_key
 from monthloom.operators.features import FeatureSpec, labelled_features, long_features
 from monthloom.plans.registry import query
@@ -16,7 +17,7 @@ from monthloom.plans.sql_blocks import (ACTIVE, CLEAN, PANEL, PLAUSIBLE, RECODED
                                         rank_of)
 from monthloom.sources import panel_io
 from monthloom.sources.driver_tables import PANEL_REF_YEAR, orders_panel
-from monthloom.sources.store import scratch_path
+from monthloom.sources.store import cut_lineage, scratch_path
 
 RULES = CleaningRules(PANEL_REF_YEAR)
 AS_CODED = CleaningRules(PANEL_REF_YEAR, birth_fix="as_coded")
@@ -172,6 +173,13 @@ def cleaned(spark, sf):
     return clean_panel(orders_panel(spark, sf), RULES)
 
 
+@query("clean_panel_staged", CLEAN + "SELECT * FROM clean")
+def cleaned_staged(spark, sf):
+    """Exceptions stored first, so that their size decides the join."""
+    panel = orders_panel(spark, sf)
+    return clean_panel(panel, RULES, cut_lineage(cleaning_exceptions(panel, RULES), "exceptions"))
+
+
 @query("clean_panel_as_coded", clean_ctes(True) + "SELECT * FROM clean")
 def cleaned_as_coded(spark, sf):
     return clean_panel(orders_panel(spark, sf), AS_CODED)
