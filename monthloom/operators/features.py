@@ -108,8 +108,8 @@ def _cell_map(specs) -> Column:
     return F.map_from_entries(F.collect_list(F.struct("period_ord", F.struct(*[s.name for s in specs]))))
 
 
-def _cells_from_map(cells: Column, specs, period, ordinals) -> list[Column]:
-    return [F.try_element_at(cells, F.lit(o))[s.name].alias(s.cell_name(period, o)) for s in specs for o in ordinals]
+def _cells_from_map(specs, period, ordinals) -> list[str]:
+    return [f"try_element_at(cells, {o}).`{s.name}` AS `{s.cell_name(period, o)}`" for s in specs for o in ordinals]
 
 
 def _pivot(cells: DataFrame, specs, period, ordinals) -> DataFrame:
@@ -117,14 +117,13 @@ def _pivot(cells: DataFrame, specs, period, ordinals) -> DataFrame:
     names = [s.name for s in specs]
     wide = cells.groupBy("id").pivot("period_ord", list(ordinals)).agg(*[F.max(n).alias(n) for n in names])
     single = len(names) == 1  # Spark then leaves the aggregate's name out
-    return wide.select("id", *[
-        F.col(f"`{o}`" if single else f"`{o}_{s.name}`").alias(s.cell_name(period, o)) for s in specs for o in ordinals])
+    return wide.selectExpr("id", *[
+        f"`{o if single else f'{o}_{s.name}'}` AS `{s.cell_name(period, o)}`" for s in specs for o in ordinals])
 
 
 def _decode_wide(wide: DataFrame, specs, period, ordinals) -> DataFrame:
     coded = {s.cell_name(period, o): s for s in specs if s.domain for o in ordinals}
-    return wide.select([
-        coded[c].decode(F.col(c)).alias(c) if c in coded else F.col(c) for c in wide.columns])
+    return wide.withColumns({c: s.decode(F.col(c)) for c, s in coded.items()}) if coded else wide
 
 
 def _within(panel: DataFrame, period: PeriodSpec, ordinals: Sequence[int]) -> DataFrame:
@@ -177,18 +176,22 @@ def entity_base(panel: DataFrame, attributes: Sequence[str] = ("sex", "k", "age"
 
 
 def feature_table(panel: DataFrame, rules: CleaningRules, period: PeriodSpec, ordinals: Sequence[int],
-                  specs: Sequence[FeatureSpec] = DEFAULT_FEATURES, keep: str = "first") -> DataFrame:
+                  specs: Sequence[FeatureSpec] = DEFAULT_FEATURES, keep: str = "first",
+                  strategy: str = "preaggregate") -> DataFrame:
     """Clean a raw panel and build its wide feature table: ``id, sex, k, age`` and the cells.
 
     With the documented birth-year repair every cleaning decision is about a whole entity, so the
     evidence for it is gathered by the same aggregation as the features and applied afterwards:
     no join, no window over an entity's rows. The other repair decides row by row and goes
-    through :func:`clean_panel`.
+    through :func:`clean_panel`. ``strategy`` is ``preaggregate`` or ``cluster`` as in
+    :func:`wide_features`.
     """
+    if strategy not in ("preaggregate", "cluster"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     if rules.birth_fix != "documented":
         cleaned = clean_panel(panel, rules)
         base = entity_base(cleaned, keep=keep)
-        return base.join(wide_features(cleaned, specs, period, ordinals), "id")
+        return base.join(wide_features(cleaned, specs, period, ordinals, strategy), "id")
 
     pick = earliest if keep == "first" else latest
     at = month_index()
@@ -204,7 +207,10 @@ def feature_table(panel: DataFrame, rules: CleaningRules, period: PeriodSpec, or
         pick(F.col("k"), at).alias("k"),
         pick(donor, at).alias("own_birth"),
     ]
-    cells = long_features(rows, specs, period, extra=evidence, decode=False).repartition("id")
+    if strategy == "cluster":
+        cells = long_features(rows.repartition("id"), specs, period, extra=evidence, decode=False)
+    else:
+        cells = long_features(rows, specs, period, extra=evidence, decode=False).repartition("id")
     # Cleaning looks at all months, also at those outside ``ordinals``.
     wide = (cells.groupBy("id")
             .agg(F.coalesce(F.min("sex_low") != F.max("sex_high"), F.lit(False)).alias("sex_conflict"),
@@ -215,8 +221,8 @@ def feature_table(panel: DataFrame, rules: CleaningRules, period: PeriodSpec, or
                  _cell_map(specs).alias("cells"))
             .where(~F.col("sex_conflict") & F.col("known_birth").isNotNull()))
     age = age_in(rules.ref_year, F.coalesce("own_birth", "known_birth"))
-    shaped = wide.select("id", domain_value(F.col("sex_code"), SEXES).alias("sex"), "k", age.alias("age"),
-                         *_cells_from_map(F.col("cells"), specs, period, ordinals))
+    shaped = (wide.withColumns({"sex": domain_value(F.col("sex_code"), SEXES), "age": age})
+              .selectExpr("id", "sex", "k", "age", *_cells_from_map(specs, period, ordinals)))
     return _decode_wide(shaped, specs, period, ordinals)
 
 

@@ -22,11 +22,19 @@ def yearly_aggregates(panel: DataFrame, strings: Sequence[str] = TITLE_COLUMNS)
                  *[longest(F.col(c)).alias(c) for c in strings]))
 
 
-def with_age_bins(yearly: DataFrame, ref_year: int, bins: int = 3, age_range=(0, 100)) -> DataFrame:
-    """Replace the birth year by an equal-width age bin (1-based)."""
-    aged = (yearly.withColumn("age", age_in(ref_year, F.col("birth_year")))
-            .where(strictly_between(F.col("age"), *age_range)))
-    return bin_equal_width(aged, "age", bins, "age_bin").drop("age", "birth_year")
+def with_age_bins(yearly: DataFrame, ref_year: int, bins: int = 3, age_range=(0, 100),
+                  panel: DataFrame | None = None) -> DataFrame:
+    """Replace the birth year by an equal-width age bin (1-based).
+
+    Given the ``panel`` behind the aggregates, the age range is read from its birth years, without
+    aggregating first.
+    """
+    def aged(df):
+        return (df.withColumn("age", age_in(ref_year, F.col("birth_year")))
+                .where(strictly_between(F.col("age"), *age_range)))
+
+    binned = bin_equal_width(aged(yearly), "age", bins, "age_bin", range_of=aged(yearly if panel is None else panel))
+    return binned.drop("age", "birth_year")
 
 
 def period_over_period(yearly: DataFrame, year: int, measures: Sequence[str] = MEASURES) -> DataFrame:

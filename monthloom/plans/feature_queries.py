@@ -13,7 +13,7 @@ from monthloom.operators.encode import one_hot
 from monthloom.operators.features import (DEFAULT_FEATURES, FeatureSpec, composite_max, composite_values, entity_base,
                                           feature_table, labelled_features, long_features, wide_features)
 from monthloom.operators.targets import Task, build_dataset, task_matrix, x_y_split
-from monthloom.plans.panel_queries import RULES
+from monthloom.plans.panel_queries import AS_CODED, RULES
 from monthloom.plans.registry import query, rounded
 from monthloom.plans.sql_blocks import (CLEAN, REF, age_group, cells, dataset_ctes, equal_bin, feature_ctes, ordinals,
                                         period_sql, target_of)
@@ -106,6 +106,16 @@ _table("feature_table_year", 12)
 _table("feature_table_month", 1)
 
 
+@query("feature_table_half_cluster", feature_ctes(6) + "SELECT * FROM wide")
+def feature_table_half_cluster(spark, sf):
+    return rounded(feature_table(orders_panel(spark, sf), RULES, PeriodSpec(6), span(6), strategy="cluster"))
+
+
+@query("feature_table_half_as_coded", feature_ctes(6, as_coded=True) + "SELECT * FROM wide")
+def feature_table_half_as_coded(spark, sf):
+    return rounded(feature_table(orders_panel(spark, sf), AS_CODED, PeriodSpec(6), span(6)))
+
+
 @query("entity_base", CLEAN + """SELECT id, arg_min(sex, year * 12 + mon) AS sex, arg_min(k, year * 12 + mon) AS k,
        arg_min(age, year * 12 + mon) AS age FROM clean GROUP BY id""")
 def base(spark, sf):

@@ -46,11 +46,11 @@ def scan_drifted_extracts(spark, sf):
     return panel_io.read_extracts(spark, old, new)
 
 
-@query("scan_panel_parquet", PANEL + "SELECT * FROM panel WHERE year = 2000 AND mon >= 7")
+@query("scan_panel_parquet", PANEL + "SELECT * FROM panel")
 def scan_panel_parquet(spark, sf):
     path = scratch_path(spark, "panel")
     panel_io.write_panel(orders_panel(spark, sf), path)
-    return panel_io.read_panel(spark, path).where("year = 2000 AND mon >= 7")
+    return panel_io.read_panel(spark, path)
 
 
 @query("preview_rows", PANEL + "SELECT * FROM panel ORDER BY id, year, mon LIMIT 10")

@@ -239,7 +239,8 @@ _DIFFS = _YEARLY + _diff_cte("d1", 1999) + _diff_cte("d2", 2000)
 
 
 def _binned(spark, sf):
-    return panel_diff.with_age_bins(panel_diff.yearly_aggregates(orders_panel(spark, sf)), REF)
+    panel = orders_panel(spark, sf)
+    return panel_diff.with_age_bins(panel_diff.yearly_aggregates(panel), REF, panel=panel)
 
 
 @query("yearly_multi_agg", _YEARLY + f"SELECT id, year, sex, birth_year, {_ROUND_MEASURES}, {', '.join(_STRINGS)} FROM yearly")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +26,6 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round double columns, for comparison across engines."""
-    return df.select([
-        F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() == "double"
-        else F.col(f"`{f.name}`") for f in df.schema])
+    return df.selectExpr(*[
+        f"round(`{f.name}`, {digits}) AS `{f.name}`" if f.dataType.typeName() == "double" else f"`{f.name}`"
+        for f in df.schema])

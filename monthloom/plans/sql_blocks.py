@@ -114,9 +114,9 @@ def cells(n: int, names=tuple(FEATURES)) -> str:
     return ",\n         ".join(f"{FEATURES[f][0](n, o)} AS {f}_{suffix(n, o)}" for f in names for o in ordinals(n))
 
 
-def feature_ctes(n: int) -> str:
+def feature_ctes(n: int, as_coded: bool = False) -> str:
     """Adds ``wide``: base attributes of the earliest row, and every feature cell."""
-    return CLEAN + f""", wide AS (
+    return clean_ctes(as_coded) + f""", wide AS (
   SELECT id, arg_min(sex, year * 12 + mon) AS sex, arg_min(k, year * 12 + mon) AS k,
          arg_min(age, year * 12 + mon) AS age,
          {cells(n)}

@@ -16,44 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly panel of customers: their last order of each month supplies the measures."""
-    day, key = F.col("o_orderdate"), F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").where(
-        (day >= F.lit("1998-12-01").cast("timestamp_ntz"))
-        & (day < F.lit("2001-01-01").cast("timestamp_ntz")))
-    last_order = F.max(F.struct(
-        day.alias("d"), key.alias("ok"), F.col("o_orderstatus").alias("st"),
-        F.col("o_orderpriority").alias("pr"), F.col("o_totalprice").alias("tp")))
-    monthly = (orders
-               .groupBy(F.col("o_custkey").alias("id"), F.year(day).cast("int").alias("year"),
-                        F.month(day).cast("int").alias("mon"))
-               .agg(last_order.alias("last"))
-               .select("id", "year", "mon", "last.ok", "last.st", "last.pr", "last.tp"))
+    monthly = (table(spark, sf_dir, "orders")
+               .where("o_orderdate >= TIMESTAMP_NTZ '1998-12-01' AND o_orderdate < TIMESTAMP_NTZ '2001-01-01'")
+               .groupBy(F.expr("o_custkey AS id"), F.expr("year(o_orderdate) AS year"), F.expr("month(o_orderdate) AS mon"))
+               .agg(F.expr("""max(struct(o_orderdate AS d, o_orderkey AS ok, o_orderstatus AS st,
+                                         o_orderpriority AS pr, o_totalprice AS tp)) AS last"""))
+               .select("id", "year", "mon", "last.*"))
     people = (table(spark, sf_dir, "customer")
-              .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-              .select(F.col("c_custkey").alias("id"), "c_name", "n_name"))
-
-    i, ok, sex = F.col("id"), F.col("ok"), F.col("sex")
-    even = ok % 2 == 0
+              .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+              .selectExpr("c_custkey AS id", "c_name", "n_name"))
     return (monthly.join(people, "id")
-            .withColumn("sex", F.when((i % 40 == 0) & even, "M").when(i % 10 == 0, "F").otherwise("M"))
-            .withColumn("t", F.when(F.col("pr") == "1-URGENT", "GM").when(F.col("pr") == "2-HIGH", "IM")
-                        .when(F.col("pr") == "3-MEDIUM", "FM").when(F.col("pr") == "4-NOT SPECIFIED", "CM"))
-            .withColumn("rat", (1000 + F.floor("tp") % 1800).cast("int"))
-            .select(
+            .selectExpr(
+                "*",
+                "CASE WHEN id % 40 = 0 AND ok % 2 = 0 THEN 'M' WHEN id % 10 = 0 THEN 'F' ELSE 'M' END AS sex",
+                """CASE pr WHEN '1-URGENT' THEN 'GM' WHEN '2-HIGH' THEN 'IM' WHEN '3-MEDIUM' THEN 'FM'
+                           WHEN '4-NOT SPECIFIED' THEN 'CM' END AS t""",
+                "CAST(1000 + floor(tp) % 1800 AS INT) AS rat")
+            .selectExpr(
                 "id",
-                F.when((i % 60 == 0) & even, F.concat("c_name", F.lit(" jr"))).otherwise(F.col("c_name")).alias("name"),
-                F.when((i % 45 == 0) & even, "OTHER").otherwise(F.col("n_name")).alias("fed"),
+                "CASE WHEN id % 60 = 0 AND ok % 2 = 0 THEN c_name || ' jr' ELSE c_name END AS name",
+                "CASE WHEN id % 45 = 0 AND ok % 2 = 0 THEN 'OTHER' ELSE n_name END AS fed",
                 "sex",
-                F.when((i % 25 == 0) & (ok % 3 == 0), 0).when(i % 97 == 0, 1880)
-                .when((i % 35 == 0) & even, 1971).otherwise(2000 - (4 + i % 90)).cast("int").alias("birth_year"),
-                F.when((sex == "F") & (i % 20 == 0), F.concat(F.lit("W"), "t")).otherwise(F.col("t")).alias("tit_code"),
-                F.when(sex == "F", F.concat(F.lit("W"), "t")).alias("wtit_code"),
-                F.when(i % 11 == 0, "IA").alias("otit"),
-                F.when(ok % 5 == 1, "A").when(ok % 5 == 2, "AB").when(ok % 5 == 3, "ABC").when(ok % 5 == 4, "B").alias("foa"),
+                """CAST(CASE WHEN id % 25 = 0 AND ok % 3 = 0 THEN 0 WHEN id % 97 = 0 THEN 1880
+                             WHEN id % 35 = 0 AND ok % 2 = 0 THEN 1971 ELSE 2000 - (4 + id % 90) END AS INT) AS birth_year""",
+                "CASE WHEN sex = 'F' AND id % 20 = 0 THEN 'W' || t ELSE t END AS tit_code",
+                "CASE WHEN sex = 'F' THEN 'W' || t END AS wtit_code",
+                "CASE WHEN id % 11 = 0 THEN 'IA' END AS otit",
+                "CASE ok % 5 WHEN 1 THEN 'A' WHEN 2 THEN 'AB' WHEN 3 THEN 'ABC' WHEN 4 THEN 'B' END AS foa",
                 "rat",
-                (ok % 23).cast("int").alias("gms"),
-                F.when(F.col("rat") >= 2400, 10).when(i % 3 == 0, 40).otherwise(20).cast("int").alias("k"),
-                F.when(F.col("st") == "F", F.when(sex == "F", "wi").otherwise("i")).when(sex == "F", "w").alias("flag"),
+                "CAST(ok % 23 AS INT) AS gms",
+                "CAST(CASE WHEN rat >= 2400 THEN 10 WHEN id % 3 = 0 THEN 40 ELSE 20 END AS INT) AS k",
+                "CASE WHEN st = 'F' THEN CASE WHEN sex = 'F' THEN 'wi' ELSE 'i' END WHEN sex = 'F' THEN 'w' END AS flag",
                 "year", "mon"))
 
 

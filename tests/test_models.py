@@ -50,3 +50,26 @@ def test_metric_edges(spark):
     assert rows(classification_metrics(same)) == [(None, 0.5)]
     one = spark.createDataFrame([(2.0, 3.0)], "label double, pred double")
     assert rows(regression_metrics(one)) == [(1.0, None)]
+
+
+def test_task_run_and_resume(spark, sf_dir):
+    from monthloom.operators.clean import CleaningRules
+    from monthloom.operators.metrics import confusion_matrix
+    from monthloom.operators.targets import task_matrix
+    from monthloom.plans.tasks import final_evaluation, run_tasks
+    from monthloom.sources.driver_tables import orders_panel
+    from monthloom.sources.store import ResultStore, scratch_path
+
+    store = ResultStore(spark, scratch_path(spark, "run"))
+    small = dict(pca=(2,), trees=(5,), max_depth=3)
+    args = (orders_panel(spark, sf_dir), CleaningRules(2000), store, 2000, (1998, 12), (2000, 12))
+    run_tasks(*args, periods=((6, 6),), kinds=("clf",), **small)
+    both = run_tasks(*args, periods=((6, 6),), kinds=("clf", "regr"), **small)
+    assert rows(both.groupBy("task", "type").count()) == [
+        ("clf_6", "baseline", 2), ("clf_6", "predicted", 1), ("regr_6", "baseline", 2), ("regr_6", "predicted", 1)]
+    assert rows(store.predictions().select("task", "model").distinct()) == [("clf_6", "PCA_2-RF_5"), ("regr_6", "PCA_2-RF_5")]
+    tasks = task_matrix(2000, ((6, 6),), ("clf", "regr"))
+    predictions, final = final_evaluation(store, tasks, "PCA_2-RF_5", **small)
+    assert rows(final.select("name", "type")) == [("clf_6", "baseline"), ("clf_6", "predicted"), ("regr_6", "baseline"), ("regr_6", "predicted")]
+    matrix = confusion_matrix(predictions["clf_6"])
+    assert matrix.agg({"n": "sum"}).first()[0] == predictions["clf_6"].count()
