@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.operators.dedup import first_per_key, mark_repeats, repeated_groups
+from monthloom.operators.skew import salted_join
 
 
 def attribute_variants(panel: DataFrame, attributes: Sequence[str]) -> DataFrame:
@@ -52,21 +53,23 @@ def name_changes(panel: DataFrame, scope: str = "entity") -> DataFrame:
     if scope == "entity":
         return variants.join(firsts, ["id", "name"], "left_anti")
     if scope == "global":
-        return variants.join(firsts.select("name").distinct(), "name", "left_anti").select("id", "name")
+        # Names are compared once each, however many entities share one.
+        unseen = variants.select("name").distinct().join(firsts.select("name").distinct(), "name", "left_anti")
+        return salted_join(variants, unseen, "name", "left_semi").select("id", "name")
     raise ValueError(f"unknown scope {scope!r}")
 
 
 def name_change_examples(panel: DataFrame, changes: DataFrame, n: int = 5) -> DataFrame:
     """Every name ever used by the first ``n`` changed entities, one row per name."""
     ids = changes.select("id").distinct().orderBy("id").limit(n)
-    return panel.join(ids, "id", "left_semi").select("id", "name").distinct().orderBy("id", "name")
+    return panel.join(F.broadcast(ids), "id", "left_semi").select("id", "name").distinct().orderBy("id", "name")
 
 
 def implausible_birth_years(panel: DataFrame, before: int = 1910) -> DataFrame:
     """First row of each entity that ever had a birth year in ``(0, before)``, sorted by it."""
     odd = (F.col("birth_year") > 0) & (F.col("birth_year") < before)
     ids = panel.where(odd).select("id").distinct()
-    return first_per_key(panel.join(ids, "id", "left_semi"), ["id"]).orderBy("birth_year", "id")
+    return first_per_key(salted_join(panel, ids, "id", "left_semi"), ["id"]).orderBy("birth_year", "id")
 
 
 def flag_sex_crosstab(panel: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from monthloom.functions.scalars import (age_in, fingerprint, recode_flag, strictly_between,
                                          title_rank)
 from monthloom.model import TEXT_COLUMNS, TITLES, WOMEN_TITLES
+from monthloom.operators.skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ def conflicting_sex() -> Column:
 def drop_sex_changes(panel: DataFrame) -> DataFrame:
     """Remove every row of entities seen with more than one sex."""
     changed = panel.groupBy("id").agg(conflicting_sex().alias("conflict")).where("conflict").select("id")
-    return panel.join(changed, "id", "left_anti")
+    return salted_join(panel, changed, "id", "left_anti")
 
 
 def fix_birth_years(panel: DataFrame, rules: CleaningRules) -> DataFrame:
@@ -66,7 +67,7 @@ def fix_birth_years(panel: DataFrame, rules: CleaningRules) -> DataFrame:
     donors = (panel.groupBy("id")
               .agg(F.max(rules.donor(b)).alias("known_birth"), F.bool_or(~rules.keeps_own(b)).alias("gap"))
               .where("gap").select("id", "known_birth"))
-    return (panel.join(donors, "id", "left")
+    return (salted_join(panel, donors, "id", "left")
             .withColumn("birth_year", F.when(rules.keeps_own(b), b).otherwise(F.col("known_birth")))
             .drop("known_birth"))
 
@@ -100,12 +101,15 @@ def clean_panel(panel: DataFrame, rules: CleaningRules, exceptions: DataFrame |
     Only exceptional entities enter the join. Pass them as a stored table
     (``cut_lineage(cleaning_exceptions(...))``) and the planner knows their size: it broadcasts them
     when they are below ``spark.sql.autoBroadcastJoinThreshold`` and the panel is not shuffled at
-    all. Otherwise the join is a sort-merge join whose skewed partitions AQE splits.
+    all. Without a stored table the join is salted, so that an entity with very many rows is spread
+    over several tasks whatever runs on top of the join.
     """
     b = F.col("birth_year")
     if exceptions is None:
-        exceptions = cleaning_exceptions(panel, rules)
-    repaired = (panel.join(exceptions, "id", "left")
+        joined = salted_join(panel, cleaning_exceptions(panel, rules), "id", "left")
+    else:
+        joined = panel.join(exceptions, "id", "left")
+    repaired = (joined
                 .where(~F.coalesce(F.col("conflict"), F.lit(False)))
                 .withColumn("birth_year", F.when(rules.keeps_own(b), b).otherwise(F.col("known_birth")))
                 .drop("conflict", "known_birth")

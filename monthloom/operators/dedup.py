@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.operators.skew import salted_join
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("year", "mon"),
                   keep: str = "first") -> DataFrame:
@@ -21,11 +23,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("y
 def mark_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``repeat``: true on every row after the first of its key (``order`` unique in a key)."""
     rank = F.struct(*order)
-    first = df.groupBy(*keys).agg(F.min(rank).alias("first_rank"))
-    return df.join(first, list(keys)).withColumn("repeat", rank != F.col("first_rank")).drop("first_rank")
+    first = (df.groupBy(*keys).agg(F.min(rank).alias("first_rank"), F.count("*").alias("n_in_key"))
+             .where("n_in_key > 1").drop("n_in_key"))
+    return (salted_join(df, first, keys, "left")
+            .withColumn("repeat", F.coalesce(rank != F.col("first_rank"), F.lit(False))).drop("first_rank"))
 
 
 def repeated_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of keys that occur more than once."""
     repeated = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    return df.join(repeated, list(keys), "left_semi")
+    return salted_join(df, repeated, keys, "left_semi")

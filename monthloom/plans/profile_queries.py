@@ -9,6 +9,7 @@ from monthloom.model import SEXES, TITLES, WOMEN_TITLES
 from monthloom.operators import panel_diff, profile
 from monthloom.operators.features import FeatureSpec, long_features
 from monthloom.operators.quantiles import box_stats, numeric_summary
+from monthloom.operators.skew import salted_join
 from monthloom.plans.registry import query, rounded
 from monthloom.plans.sql_blocks import ACTIVE, EVENTS_PANEL, PANEL, REF, box_sql, equal_bin
 from monthloom.sources.driver_tables import events_panel, orders_panel
@@ -180,7 +181,7 @@ WHERE a.day = 1 AND z.day = 30 AND a.id IN (SELECT id FROM ids)""")
 def always_active_diff(spark, sf):
     days = events_panel(spark, sf)
     ids = profile.always_active(days, 20, F.col("active") == 1)
-    members = days.join(ids, "id", "left_semi")
+    members = salted_join(days, ids, "id", "left_semi")
     return rounded(profile.first_last_difference(members, "day", 1, 30, "rat", carry=["active"]))
 
 

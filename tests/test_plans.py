@@ -9,6 +9,7 @@ from monthloom.functions.periods import PeriodSpec
 from monthloom.operators.clean import CleaningRules, clean_panel, cleaning_exceptions
 from monthloom.operators.features import feature_table, wide_features, DEFAULT_FEATURES
 from monthloom.operators.quantiles import box_stats
+from monthloom.operators.skew import salted_join
 from monthloom.operators.split import split_panel
 from monthloom.plans.registry import QUERIES, rounded
 from monthloom.sources.driver_tables import orders_panel
@@ -98,6 +99,15 @@ def test_hot_entity_reaches_the_shuffle_combined(spark, sf_dir):
         rounded(got.drop("sex", "k", "age")))
 
 
+def test_salted_join_equals_plain_join(spark, sf_dir):
+    panel = orders_panel(spark, sf_dir)
+    facts = panel.groupBy("id").agg(F.max("rat").alias("top")).where("top > 2000")
+    for how in ("left", "left_anti", "left_semi", "inner"):
+        assert rows(salted_join(panel, facts, "id", how)) == rows(panel.join(facts, "id", how)), how
+    text = plan(salted_join(panel, facts, "id", "left").groupBy("id").agg(F.sum("top")))
+    assert re.search(r"hashpartitioning\(id#\w+, salt#\w+", text) and "partial_sum" in text
+
+
 def test_hot_category_is_not_gathered(spark, sf_dir):
     text = plan(box_stats(orders_panel(spark, sf_dir), "rat", "sex", ("F", "M")))
     assert "SortMergeJoin" not in text.split("BroadcastExchange")[0]
