@@ -11,7 +11,7 @@ from monthloom.operators.clean import CleaningRules, clean_panel, drop_sex_chang
 from monthloom.operators.features import (DEFAULT_FEATURES, FeatureSpec, feature_table, fill_missing, long_features,
                                           reference_labels)
 from monthloom.operators.metrics import classification_metrics, confusion_matrix, regression_metrics
-from monthloom.operators.targets import build_dataset, target_labels
+from monthloom.operators.targets import build_dataset, select_columns, target_labels
 
 HALF = PeriodSpec(6)
 SPAN = HALF.span((2018, 12), (2019, 12))
@@ -103,6 +103,8 @@ def test_labels(spark, features):
     assert target_labels(PeriodSpec(1), PeriodSpec(1).ordinal(2019, 0))[1] == "rat:mean/2018/11/1"
     named = reference_labels(features, DEFAULT_FEATURES, HALF, SPAN)
     assert "rat:mean/2019/0/6" in named.columns
+    kept = select_columns(named, lambda c: "/" not in c or "/2018/" in c)
+    assert kept.columns[:4] == ["id", "sex", "k", "age"] and len(kept.columns) == 4 + len(DEFAULT_FEATURES)
     year, start = parse_label()
     text = spark.createDataFrame([("a:b/2019/6/6",), ("a:b/2019//yearly",)], "label string")
     assert rows(text.select(year, start)) == [(2019, 6), (2019, None)]
