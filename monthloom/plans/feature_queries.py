@@ -15,8 +15,8 @@ from monthloom.operators.features import (DEFAULT_FEATURES, FeatureSpec, composi
 from monthloom.operators.targets import Task, build_dataset, task_matrix, x_y_split
 from monthloom.plans.panel_queries import AS_CODED, RULES
 from monthloom.plans.registry import query, rounded
-from monthloom.plans.sql_blocks import (CLEAN, REF, age_group, cells, dataset_ctes, equal_bin, feature_ctes, ordinals,
-                                        period_sql, target_of)
+from monthloom.plans.sql_blocks import (CLEAN, age_group, cells, dataset_ctes, equal_bin, feature_ctes, period_sql,
+                                        target_of)
 from monthloom.sources.driver_tables import PANEL_FIRST, PANEL_LAST, PANEL_REF_YEAR, orders_panel
 
 TASKS = {t.name: t for t in task_matrix(PANEL_REF_YEAR)}

@@ -11,7 +11,7 @@ from monthloom.operators.metrics import (baseline_metrics, classification_metric
                                          regression_metrics, stack_metrics, tagged)
 from monthloom.operators.models import FINAL_MODEL, evaluate_models, make_models, vector_size
 from monthloom.operators.split import split_panel, split_sizes
-from monthloom.plans.feature_queries import TASKS, dataset_of, features_of
+from monthloom.plans.feature_queries import TASKS, dataset_of
 from monthloom.plans.registry import query, rounded
 from monthloom.plans.sql_blocks import PANEL, clf_metrics_sql, dataset_ctes, reg_metrics_sql, split_ctes
 from monthloom.sources.driver_tables import label_predictions, orders_panel, table
