@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,75 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
+    """Pieces of a batch with about ``most`` bytes of ``column`` each, at least one row."""
+    _, offsets = utf8_view(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class WordPool:
+    """Ids of words seen before, so that each is encoded once; emptied when it holds too many."""
+
+    MOST_WORDS, MOST_IDS = 400_000, 4_000_000
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
+
+    def slot(self, word: str) -> int:
+        found = self.place.get(word)
+        if found is None:
+            found = self.place[word] = len(self.starts)
+            ids = self.encode(word)
+            self.starts.append(len(self.flat))
+            self.sizes.append(len(ids))
+            self.flat.extend(ids)
+        return found
+
+    def ids_of_texts(self, texts: pa.Array, split_is_safe, whole) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the bounds of each text's.
+
+        Texts are cut before every space. ``split_is_safe(words)`` tells which words may stand on their own
+        in that cut; a text with another goes through ``whole(text)``.
+        """
+        if len(self.starts) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
+            self.clear()
+        split = pc.split_pattern(texts.fill_null(""), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        safe = split_is_safe(words, codes, bounds)
+        empty = np.diff(utf8_view(texts)[1]) == 0
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        used = (safe & ~empty)[owner]
+        needed = np.zeros(len(words), bool)
+        needed[codes[used]] = True
+        slots = np.fromiter((self.slot(w) if n else 0 for w, n in zip(words, needed.tolist())), np.int64, len(words))
+        return self._gather(slots[codes], bounds, used, [(i, whole(texts[i].as_py())) for i in np.flatnonzero(~safe & ~empty).tolist()])
+
+    def _gather(self, slots, bounds, used, others):
+        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+        if len(starts) == 0:
+            starts = sizes = np.zeros(1, np.int64)
+        lengths = np.where(used, sizes[slots], 0)
+        ids = np.array(self.flat, np.int32)[ragged(starts[slots], lengths)]
+        ends = np.r_[0, np.cumsum(lengths)][bounds]
+        if not others:
+            return ids, ends
+        counts = np.diff(ends)
+        parts, at = [], 0
+        for i, own in others:
+            parts += [ids[at:ends[i]], np.array(own, np.int32)]
+            at = ends[i]
+            counts[i] = len(own)
+        return np.concatenate([*parts, ids[at:]]), np.r_[0, np.cumsum(counts)]

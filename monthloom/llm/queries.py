@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import line_dedup, mixing, near_dedup
+from monthloom.llm import language, line_dedup, mixing, near_dedup, sentencepieces
 from monthloom.llm.common import documents, text_or_empty
 from monthloom.llm.oracle import LINE_DEDUP, MIXING, NEAR_DEDUP
 
@@ -28,5 +28,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op5_mixing)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    digested = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                              F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return (sentencepieces.decode(digested)
+            .select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_line_dedup, op2_near_dedup, op5_mixing, op8_language, op10_sentencepieces)}
 ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op2_near_dedup": NEAR_DEDUP, "op5_mixing": MIXING}
