@@ -110,11 +110,12 @@ class WordPool:
             self.flat.extend(ids)
         return found
 
-    def ids_of_texts(self, texts: pa.Array, split_is_safe, whole) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of_texts(self, texts: pa.Array, split_is_safe, whole, lead: str, lead_first: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the bounds of each text's.
 
-        Texts are cut before every space. ``split_is_safe(words)`` tells which words may stand on their own
-        in that cut; a text with another goes through ``whole(text)``.
+        Texts are cut before every space. ``split_is_safe(words, codes, bounds)`` tells which texts may be
+        encoded word by word in that cut; another goes through ``whole(text)``. A word is encoded with ``lead``
+        in front, a text's first one only if ``lead_first``.
         """
         if len(self.starts) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
             self.clear()
@@ -128,8 +129,12 @@ class WordPool:
         used = (safe & ~empty)[owner]
         needed = np.zeros(len(words), bool)
         needed[codes[used]] = True
-        slots = np.fromiter((self.slot(w) if n else 0 for w, n in zip(words, needed.tolist())), np.int64, len(words))
-        return self._gather(slots[codes], bounds, used, [(i, whole(texts[i].as_py())) for i in np.flatnonzero(~safe & ~empty).tolist()])
+        slots = np.fromiter((self.slot(lead + w) if n else 0 for w, n in zip(words, needed.tolist())), np.int64,
+                            len(words))[codes]
+        if not lead_first:
+            firsts = bounds[:-1][safe & ~empty]
+            slots[firsts] = [self.slot(words[c]) for c in codes[firsts].tolist()]
+        return self._gather(slots, bounds, used, [(i, whole(texts[i].as_py())) for i in np.flatnonzero(~safe & ~empty).tolist()])
 
     def _gather(self, slots, bounds, used, others):
         starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)

@@ -97,3 +97,16 @@ SELECT l.doc_id, l.size, l.source_size, l.target,
 FROM laid l LEFT JOIN picks p ON l.source IS NOT DISTINCT FROM p.source AND l.shard = p.shard
 LEFT JOIN inside USING (doc_id)
 """
+
+#: Brute force; on a table this small every slab lies within every window.
+NEAREST = """
+WITH v AS (
+  SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) / (c.norm * q.norm) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import language, line_dedup, mixing, near_dedup, sentencepieces
+from monthloom.llm import ann, language, line_dedup, mixing, near_dedup, secret_scan, sentencepieces, token_files
 from monthloom.llm.common import documents, text_or_empty
-from monthloom.llm.oracle import LINE_DEDUP, MIXING, NEAR_DEDUP
+from monthloom.llm.oracle import LINE_DEDUP, MIXING, NEAR_DEDUP, NEAREST
+from monthloom.sources.store import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,15 +24,40 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mix_sources(documents(spark, sf_dir), weights=(5, 2, 1), most=3)
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    base = [r.kind for r in secret_scan.BASE]
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, base),
+                        F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+                        joined(F.col("secrets")).alias("spans"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(documents(spark, sf_dir), path, end_id=2)
+    return (token_files.read_documents(spark, path)
+            .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+
+
 def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepieces.encode(documents(spark, sf_dir).select("doc_id", "text"))
     digested = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -41,5 +67,7 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_line_dedup, op2_near_dedup, op5_mixing, op8_language, op10_sentencepieces)}
-ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op2_near_dedup": NEAR_DEDUP, "op5_mixing": MIXING}
+    op1_line_dedup, op2_near_dedup, op4_nearest, op5_mixing, op6_secrets, op8_language, op9_token_files,
+    op10_sentencepieces)}
+ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op2_near_dedup": NEAR_DEDUP, "op4_nearest": NEAREST,
+                          "op5_mixing": MIXING}

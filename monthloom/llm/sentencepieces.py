@@ -131,9 +131,6 @@ class PieceModel:
                 ids += [self.byte[b] for b in part.encode()]
         return ids
 
-    def word_ids(self, word: str) -> list[int]:
-        return self.marked_ids(MARK + word)
-
     def whole_ids(self, text: str) -> list[int]:
         ids = []
         for run in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)):
@@ -147,7 +144,7 @@ class PieceModel:
         return np.diff(np.r_[0, np.cumsum(odd[codes])][bounds]) == 0
 
     def encode(self, pool: WordPool, texts: pa.Array) -> pa.ListArray:
-        ids, bounds = pool.ids_of_texts(texts, self.safe_texts, self.whole_ids)
+        ids, bounds = pool.ids_of_texts(texts, self.safe_texts, self.whole_ids, MARK, True)
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
     def decode(self, lists: pa.ListArray) -> pa.Array:
@@ -177,7 +174,7 @@ def _loaded(proto: bytes) -> tuple[PieceModel, WordPool]:
     key = hash(proto)
     if key not in _LOADED:
         model = PieceModel(proto)
-        _LOADED[key] = model, WordPool(model.word_ids)
+        _LOADED[key] = model, WordPool(model.marked_ids)
     return _LOADED[key]
 
 
