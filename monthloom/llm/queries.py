@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import ann, language, line_dedup, mixing, near_dedup, secret_scan, sentencepieces, token_files
+from monthloom.llm import ann, fingerprints, language, line_dedup, mixing, near_dedup, secret_scan, sentencepieces, token_files
 from monthloom.llm.common import documents, text_or_empty
 from monthloom.llm.oracle import LINE_DEDUP, MIXING, NEAR_DEDUP, NEAREST
 from monthloom.sources.store import scratch_path
@@ -47,6 +47,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("secrets")).alias("spans"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -67,7 +71,7 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_line_dedup, op2_near_dedup, op4_nearest, op5_mixing, op6_secrets, op8_language, op9_token_files,
+    op1_line_dedup, op2_near_dedup, op4_nearest, op5_mixing, op6_secrets, op7_fingerprints, op8_language, op9_token_files,
     op10_sentencepieces)}
 ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op2_near_dedup": NEAR_DEDUP, "op4_nearest": NEAREST,
                           "op5_mixing": MIXING}
