@@ -5,8 +5,9 @@ same samples into an odd sketch: a bitmap holding, for every bit, the parity of
 The exclusive or of two sketches is the sketch of the samples that differ, and its population count gives
 the similarity, precisely so where it is high. Equal sets fall together first. Band collisions link each
 document with the smallest of its bucket; candidates whose sketches are too far apart are dropped and the rest
-confirmed on the full sets. Buckets that still hold more than one component are then compared in bounded
-blocks, sketch against sketch, across components only.
+confirmed on the full sets. What is left are pairs of different components within a bucket. Small buckets
+propose them directly; the members of large ones are compared in bounded blocks, each pair once and across
+components only, sketch first and then full set, and only links leave the block.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ BITS = SKETCH_WORDS * 64
 MISSED = 1e-9
 #: How far below the threshold a sketch's estimate may lie for the pair still to be confirmed exactly.
 MARGIN = 0.25
-BLOCK, CENTRE_SHARE = 1024, 256
+CENTRE_SHARE = 256
+#: Larger buckets are compared in blocks of at most so many rows and shingles.
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 64, 4096, 1_500_000
 
 
 def band_rows(percent: int) -> int:
@@ -138,57 +141,120 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
             .distinct())
 
 
-def _across(limit: int):
-    """Pairs of sketches at most ``limit`` apart in different components, one block pair at a time."""
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it."""
+    held, key = [], None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+            if held and tuple(keys[s]) != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            key = tuple(keys[s])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+
+def _sketches(rows: pa.Table) -> np.ndarray:
+    return rows.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+
+
+def _propose(limit: int):
+    """Pairs of a bucket in different components whose sketches are near enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in _groups(batches, ("bk",)):
+            ids, root, odd = rows.column("rep").to_numpy(), rows.column("root").to_numpy(), _sketches(rows)
+            far = np.bitwise_count(odd[:, None, :] ^ odd[None, :, :]).sum(axis=2)
+            i, j = np.nonzero(np.triu((far <= limit) & (root[:, None] != root[None, :]), 1))
+            us.append(ids[i])
+            vs.append(ids[j])
+            if len(us) > 4096:
+                yield _pairs(np.concatenate(us), np.concatenate(vs))
+                us, vs = us[:1], vs[:1]
+        yield _pairs(np.concatenate(us), np.concatenate(vs))
+    return run
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, over the hashes that more than one set holds."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = (np.cumsum(shared) - 1)[place]
+    keep = shared[place]
+    bits = np.zeros((len(sets), int(shared.sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (owner[keep], column[keep] >> 6), np.uint64(1) << (column[keep] & 63).astype(np.uint64))
+    return bits
+
+
+def _compare(shingle: int, percent: int, limit: int):
+    """Links between components within a block, or between two: one for each row and other component."""
+    def links(rows: pa.Table) -> pa.RecordBatch:
         ids, root, side = (rows.column(c).to_numpy() for c in ("rep", "root", "side"))
-        odd = np.stack(rows.column("odd").to_numpy(zero_copy_only=False)).view(np.uint64)
+        root, odd, us, vs = root.copy(), _sketches(rows), [], []
+        sets = list(shingle_sets(*utf8_view(rows.column("text")), shingle))
+        size, bits = np.array([len(s) for s in sets]), _bitmaps(sets)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block against itself
-        us, vs = [], []
         for i in left.tolist():
-            far = np.bitwise_count(odd[right] ^ odd[i]).sum(axis=1)
-            hit = right[(far <= limit) & (root[right] != root[i])]
-            us.append(np.full(len(hit), ids[i]))
-            vs.append(ids[hit])
-        return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
+            rest = right[root[right] != root[i]]
+            rest = rest[np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1) <= limit]
+            common = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1).astype(np.int64)
+            rest = rest[100 * common >= percent * (size[rest] + size[i] - common)]
+            for r in np.unique(root[rest]).tolist():
+                us.append(ids[i])
+                vs.append(ids[rest[root[rest] == r][0]])
+                root[root == r] = root[i]
+        return _pairs(np.array(us, np.int64), np.array(vs, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-
-        def done():
-            u, v = compare(pa.Table.from_batches(held))
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bk", "p", "q")], axis=1)
-            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
-                k = tuple(keys[s])
-                if held and k != key:
-                    yield done()
-                    held = []
-                held.append(batch.slice(s, e - s))
-                key = k
-        if held:
-            yield done()
+        for rows in _groups(batches, ("g", "p", "q")):
+            yield links(rows)
     return run
 
 
-def _left_over(members: DataFrame, roots: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """Candidate pairs of different components within a bucket that its smallest member did not settle."""
+def _left_over(docs: DataFrame, members: DataFrame, reps: DataFrame, roots: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between different components of a bucket that its smallest member did not settle."""
+    limit = sketch_distance(percent)
     rooted = (members.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
               .withColumn("root", F.coalesce("root", "rep")))
-    open_keys = (rooted.groupBy("bk").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b"))
-                 .where("a != b AND size > 2").select("bk", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    rows = (rooted.where("rep != c").join(open_keys, "bk")
-            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    open_keys = cut_lineage(
+        rooted.groupBy("bk").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b"))
+        .where("a != b AND size > 2").select("bk", "size"), "near-open")
+    open_rows = rooted.join(open_keys, "bk")
+    small = (open_rows.where(F.col("size") <= SMALL).where("rep != c").select("bk", "rep", "root")
+             .join(reps.select("rep", "odd"), "rep").repartition("bk").sortWithinPartitions("bk"))
+    pairs = cut_lineage(small.mapInArrow(_propose(limit), "u long, v long").distinct(), "near-proposed")
+    links = confirmed(docs, pairs, shingle, percent)
+
+    large = cut_lineage(open_rows.where(F.col("size") > SMALL).select("rep", "c", "root"), "near-large")
+    if large.isEmpty():
+        return links
+    # rows that meet in any large bucket fall into one group, so each pair is compared once
+    groups = component_roots(large.where("rep != c").select(F.col("rep").alias("u"), F.col("c").alias("v")).distinct())
+    grouped = (large.select("rep", "root").distinct()
+               .join(groups.select(F.col("u").alias("rep"), F.col("root").alias("g")), "rep", "left")
+               .withColumn("g", F.coalesce("g", "rep")).join(reps.select("rep", "odd", "n"), "rep"))
+    blocks = grouped.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+                                      .cast("int").alias("blocks"))
+    rows = (grouped.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            .join(docs.select(id_key().alias("rep"), "text").where(F.col("text").isNotNull()), "rep")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bk", "rep", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+            .select("g", "rep", "root", "odd", "text", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
                     F.expr("CASE WHEN block = other THEN 2 WHEN block < other THEN 0 ELSE 1 END").alias("side")))
-    return (rows.join(sketches, "rep").repartition("bk", "p", "q").sortWithinPartitions("bk", "p", "q")
-            .mapInArrow(_across(limit), "u long, v long").distinct())
+    found = (rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
+             .mapInArrow(_compare(shingle, percent, limit), "u long, v long"))
+    return links.unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -203,7 +269,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = cut_lineage(signatures(docs, shingle, percent), "near-signatures")
     live = signed.where(f"n > 0 AND did != {NULL_ID}")
     reps = cut_lineage(live.groupBy("d1", "d2").agg(F.min("did").alias("rep"), F.first("bands").alias("bands"),
-                                                    F.first("odd").alias("odd")), "near-sets")
+                                                    F.first("odd").alias("odd"), F.first("n").alias("n")), "near-sets")
     banded = reps.select("rep", F.explode("bands").alias("bk"))
     shared = banded.groupBy("bk").agg(F.min("rep").alias("c"), F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(banded.join(shared.drop("size"), "bk"), "near-members")
@@ -221,10 +287,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
              .select("u", "v"))
     links = links.unionByName(split)
     roots = component_roots(links)
-    more = cut_lineage(_left_over(members, roots, sketches, limit), "near-left-over")
+    more = cut_lineage(_left_over(docs, members, reps, roots, shingle, percent), "near-left-over")
     if not more.isEmpty():
-        found = cut_lineage(confirmed(docs, more, shingle, percent), "near-links")
-        roots = component_roots(roots.select("u", F.col("root").alias("v")).unionByName(found))
+        roots = component_roots(roots.select("u", F.col("root").alias("v")).unionByName(more))
     placed = (owners.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
               .select("did", "n", F.coalesce("root", "rep").alias("component_id")))
     alone = signed.where(f"n = 0 OR did = {NULL_ID}").select("did", "n", F.col("did").alias("component_id"))
