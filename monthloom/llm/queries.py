@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import ann, fingerprints, language, line_dedup, mixing, near_dedup, secret_scan, sentencepieces, token_files
+from monthloom.llm import ann, fingerprints, language, line_dedup, mixing, near_dedup, pii, secret_scan, sentencepieces, token_files
 from monthloom.llm.common import documents, text_or_empty
 from monthloom.llm.oracle import LINE_DEDUP, MIXING, NEAR_DEDUP, NEAREST
 from monthloom.sources.store import scratch_path
@@ -24,6 +24,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key="monthloom")
+            .withColumn("text_sha256", F.sha2(text_or_empty(), 256)))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -71,7 +76,7 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_line_dedup, op2_near_dedup, op4_nearest, op5_mixing, op6_secrets, op7_fingerprints, op8_language, op9_token_files,
+    op1_line_dedup, op2_near_dedup, op3_pii, op4_nearest, op5_mixing, op6_secrets, op7_fingerprints, op8_language, op9_token_files,
     op10_sentencepieces)}
 ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op2_near_dedup": NEAR_DEDUP, "op4_nearest": NEAREST,
                           "op5_mixing": MIXING}
