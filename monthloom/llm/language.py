@@ -40,8 +40,8 @@ def is_training(doc_id: Column) -> Column:
 def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     """Transitions of the suffix automaton of ``text`` (numbers below ``symbols``): states x symbols.
 
-    State 0 is the root. A missing transition holds ``-1 - s`` where s is where the root goes on that symbol,
-    or the root itself.
+    State 0 is the root. A missing transition holds ``-1 - s`` where s is where the root goes on that symbol, or
+    the last state, from which every symbol begins a phrase.
     """
     n = 2 * max(1, len(text))
     go = np.full((n, symbols), -1, np.int32)
@@ -71,28 +71,28 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                 link[q] = link[new] = clone
         last = new
     go = go[:size]
-    root = np.where(go[0] == -1, 0, go[0])
-    return np.where(go == -1, -1 - root[None, :], go).astype(np.int32)
+    root = np.where(go[0] == -1, size, go[0])
+    return np.concatenate([np.where(go == -1, -1 - root, go), [-1 - root]]).astype(np.int32)
 
 
 class Model:
-    """Languages with their automata in one table: row ``first[l] + state``."""
+    """Languages with their automata in one table."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         seen = sorted(set(b"".join(samples.values())))
         self.classes = np.zeros(256, np.int32)  # 0: a byte no sample holds
         self.classes[seen] = np.arange(1, len(seen) + 1)
-        width, tables, self.first, at = len(seen) + 1, [], [], 0
+        width, tables, last, at = len(seen) + 1, [], [], 0
         for name in self.languages:
             table = suffix_automaton(self.classes[np.frombuffer(samples[name], np.uint8)], width)
-            self.first.append(at)
             tables.append(np.where(table < 0, table - at, table + at))
             at += len(table)
+            last.append(at - 1)
         # entries are places in the flattened table; a negative one begins a phrase
         flat = np.concatenate(tables) if tables else np.zeros((1, 1), np.int32)
         self.table = np.where(flat < 0, (flat + 1) * width - 1, flat * width).astype(np.int32).ravel()
-        self.roots = np.array(self.first, np.int32) * width
+        self.begin = np.array(last, np.int32) * width
         self.logs = np.log(np.array([max(2, len(samples[name])) for name in self.languages]))
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -104,8 +104,8 @@ class Model:
         size = np.minimum(PIECE, offsets[1:][owner] - begin)
         order = np.argsort(-size, kind="stable")  # the pieces still running come first at every step
         owner, begin, size = owner[order], begin[order], size[order]
-        counts = np.ones((len(self.roots), len(owner)), np.int32)
-        state = np.repeat(self.roots[:, None], len(owner), axis=1)
+        counts = np.zeros((len(self.begin), len(owner)), np.int32)
+        state = np.repeat(self.begin[:, None], len(owner), axis=1)
         symbols = self.classes[data]
         running = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
         for step, alive in enumerate(running.tolist()):
@@ -113,7 +113,7 @@ class Model:
             fresh = here < 0
             counts[:, :alive] += fresh
             state[:, :alive] = np.where(fresh, -1 - here, here)
-        out = np.zeros((len(sizes), len(self.roots)))
+        out = np.zeros((len(sizes), len(self.begin)))
         for row, c in zip(out.T, counts):
             row += np.bincount(owner, c, len(sizes))
         return out
