@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,26 +89,46 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
 
 
 class WordPool:
-    """Ids of words seen before, so that each is encoded once; emptied when it holds too many."""
+    """Ids of words seen before, so that each is encoded once. When there are too many, words met only once go."""
 
-    MOST_WORDS, MOST_IDS = 400_000, 4_000_000
+    MOST_WORDS, MOST_IDS = 300_000, 3_000_000
 
     def __init__(self, encode):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
-
-    def slot(self, word: str) -> int:
-        found = self.place.get(word)
-        if found is None:
-            found = self.place[word] = len(self.starts)
-            ids = self.encode(word)
-            self.starts.append(len(self.flat))
-            self.sizes.append(len(ids))
-            self.flat.extend(ids)
+        self.places: dict[str, dict[str, int]] = {}  # by what leads the word
+        self.sizes, self.flat, self.met = array("q"), array("i"), np.zeros(0, np.uint8)
+
+    def shrink(self) -> None:
+        old, sizes, met = self.places, np.array(self.sizes), self.met
+        starts, flat = np.cumsum(sizes) - sizes, np.array(self.flat)
+        self.clear()
+        if (met > 1).sum() > self.MOST_WORDS // 2:
+            return
+        kept = [(lead, [(w, s) for w, s in place.items() if met[s] > 1]) for lead, place in old.items()]
+        slots = np.array([s for _, pairs in kept for _, s in pairs], np.int64)
+        at = 0
+        for lead, pairs in kept:
+            self.places[lead] = dict(zip([w for w, _ in pairs], range(at, at + len(pairs))))
+            at += len(pairs)
+        self.sizes.extend(sizes[slots].tolist())
+        self.flat.extend(flat[ragged(starts[slots], sizes[slots])].tolist())
+        self.met = np.ones(len(slots), np.uint8)
+
+    def slots(self, words: list[str], lead: str) -> np.ndarray:
+        place = self.places.setdefault(lead, {})
+        new = [w for w in dict.fromkeys(words) if w not in place]
+        if new:
+            encode, base = self.encode, len(self.sizes)
+            lists = [encode(lead + w) for w in new]
+            self.sizes.extend(map(len, lists))
+            self.flat.extend(chain.from_iterable(lists))
+            place.update(zip(new, range(base, base + len(new))))
+            self.met = np.r_[self.met, np.zeros(len(new), np.uint8)]
+        found = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        self.met[found] = np.minimum(self.met[found], 8) + 1
         return found
 
     def ids_of_texts(self, texts: pa.Array, split_is_safe, whole, lead: str, lead_first: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -117,29 +138,32 @@ class WordPool:
         encoded word by word in that cut; another goes through ``whole(text)``. A word is encoded with ``lead``
         in front, a text's first one only if ``lead_first``.
         """
-        if len(self.starts) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
-            self.clear()
+        if len(self.sizes) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
+            self.shrink()
         split = pc.split_pattern(texts.fill_null(""), " ")
         bounds = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
         safe = split_is_safe(words, codes, bounds)
-        empty = np.diff(utf8_view(texts)[1]) == 0
-        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        used = (safe & ~empty)[owner]
+        by_words = safe & (np.diff(utf8_view(texts)[1]) > 0)
+        used = np.repeat(by_words, np.diff(bounds))
+        led = used.copy()
+        firsts = bounds[:-1][by_words]
+        if not lead_first:
+            led[firsts] = False
         needed = np.zeros(len(words), bool)
-        needed[codes[used]] = True
-        slots = np.fromiter((self.slot(lead + w) if n else 0 for w, n in zip(words, needed.tolist())), np.int64,
-                            len(words))[codes]
+        needed[codes[led]] = True
+        slot_of = np.zeros(len(words), np.int64)
+        slot_of[needed] = self.slots(words.filter(pa.array(needed)).to_pylist(), lead)
+        slots = slot_of[codes]
         if not lead_first:
-            firsts = bounds[:-1][safe & ~empty]
-            slots[firsts] = [self.slot(words[c]) for c in codes[firsts].tolist()]
-        return self._gather(slots, bounds, used, [(i, whole(texts[i].as_py())) for i in np.flatnonzero(~safe & ~empty).tolist()])
+            slots[firsts] = self.slots(words.take(pa.array(codes[firsts])).to_pylist(), "")
+        others = [(i, whole(texts[i].as_py() or "")) for i in np.flatnonzero(~safe).tolist()]
+        return self._gather(slots, bounds, used, others)
 
     def _gather(self, slots, bounds, used, others):
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
-        if len(starts) == 0:
-            starts = sizes = np.zeros(1, np.int64)
+        sizes = np.r_[np.array(self.sizes, np.int64), 0]
+        starts = np.cumsum(sizes) - sizes
         lengths = np.where(used, sizes[slots], 0)
         ids = np.array(self.flat, np.int32)[ragged(starts[slots], lengths)]
         ends = np.r_[0, np.cumsum(lengths)][bounds]

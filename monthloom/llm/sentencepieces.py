@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ class PieceModel:
         key = one * len(self.pieces) + two
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > 1_000_000:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(one, two)
         return known
@@ -133,14 +134,14 @@ class PieceModel:
 
     def whole_ids(self, text: str) -> list[int]:
         ids = []
-        for run in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)):
+        for run in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)) if text else ():
             ids += self.marked_ids(run)
         return ids
 
     @staticmethod
-    def safe_texts(words: list[str], codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def safe_texts(words: pa.Array, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Texts without an empty word (spaces side by side or at an end) and without a mark of their own."""
-        odd = np.fromiter((not w or MARK in w for w in words), bool, len(words))
+        odd = pc.or_(pc.equal(words, ""), pc.match_substring(words, MARK)).to_numpy(zero_copy_only=False)
         return np.diff(np.r_[0, np.cumsum(odd[codes])][bounds]) == 0
 
     def encode(self, pool: WordPool, texts: pa.Array) -> pa.ListArray:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ BLOCKS = ("shard int, block int, first_id long, width int, n_ids int, doc_ids ar
 #: How byte-level tokenizers of this family cut texts before merging (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Any character that some definition calls white space.
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -76,27 +80,35 @@ class ByteBpe:
     def whole_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def piece_ids(self, piece: str) -> list[int]:
+        """Ids of a piece that the merges see as a whole."""
+        known = self.pieces.get(piece)
+        if known is None:
+            if len(self.pieces) > 300_000:
+                self.pieces.clear()
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+            known = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
+        return known
+
     def word_ids(self, word: str) -> list[int]:
+        bare = word[1:] if word[:1] == " " else word
+        if bare.isalpha():
+            return self.piece_ids(word)
+        if bare[:-1].isalpha() and bare[-1] in ".,":
+            return self.piece_ids(word[:-1]) + self.piece_ids(word[-1])
         if not word.isascii() and max(word) >= "ɐ" or any(m in word for m in self.marks):
             return self.whole_ids(word)
         ids = []
         for piece in self.pattern.findall(word):
-            known = self.pieces.get(piece)
-            if known is None:
-                if len(self.pieces) > 400_000:
-                    self.pieces.clear()
-                shown = piece.encode().decode("latin-1").translate(self.letters)
-                known = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
-            ids += known
+            ids += self.piece_ids(piece)
         return ids
 
-    def safe_texts(self, words: list[str], codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def safe_texts(self, words: pa.Array, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Texts in which no space stands between two white spaces: elsewhere a cut before a space changes nothing."""
-        n = len(words)
         if not self.by_words:
             return np.zeros(len(bounds) - 1, bool)
-        starts = np.fromiter((not w or w[0].isspace() for w in words), bool, n)
-        ends = np.fromiter((not w or w[-1].isspace() for w in words), bool, n)
+        starts, ends = (pc.or_(pc.equal(words, ""), pc.match_substring_regex(words, p)).to_numpy(zero_copy_only=False)
+                        for p in (f"^{WHITE}", f"{WHITE}$"))
         odd = np.zeros(len(codes), bool)
         odd[1:] = starts[codes[1:]] & ends[codes[:-1]]
         odd[bounds[:-1][bounds[:-1] < len(codes)]] = False
