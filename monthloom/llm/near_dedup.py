@@ -33,6 +33,7 @@ MISSED = 1e-9
 #: How far below the threshold a sketch's estimate may lie for the pair still to be confirmed exactly.
 MARGIN = 0.25
 CENTRE_SHARE = 256
+FILTER_BITS = 1 << 26
 #: Larger buckets are compared in blocks of at most so many rows and shingles.
 SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 64, 4096, 1_500_000
 
@@ -99,6 +100,21 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         _signatures(shingle, band_rows(percent)), "did long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
 
 
+def _in_play(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``did, text`` of the documents whose id may be among ``ids`` (``did``): all that are, and few others.
+
+    A bitmap of ``FILTER_BITS`` hashed ids, at most 8 MB whatever the input, is sent to all tasks, so that
+    texts without any candidate need not be shuffled. With very many ids it lets all through, no more.
+    """
+    place = F.pmod(F.xxhash64("did"), F.lit(FILTER_BITS)) + 1
+    number, position = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    bitmaps = cut_lineage(ids.groupBy(number.alias("part")).agg(F.bitmap_construct_agg(position).alias("bits")), "near-filter")
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(at div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return (docs.select(id_key().alias("did"), "text").where(F.col("text").isNotNull())
+            .withColumns({"part": number, "at": position}).join(F.broadcast(bitmaps), "part")
+            .where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select("did", "text"))
+
+
 def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centres = None, []
@@ -123,7 +139,7 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (``u, v``) whose full sets reach the threshold.
 
     The texts of ``u`` travel to ``v``, whose own text is sent once for each ``CENTRE_SHARE`` of them, so a
@@ -135,8 +151,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
         F.lit(1).alias("role"))
     centres = shares.select(F.col("v").alias("did"), F.col("v").alias("c"),
                             F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("role"))
-    texts = docs.select(id_key().alias("did"), "text").where(F.col("text").isNotNull())
-    return (members.unionByName(centres).join(texts, "did").repartition("c", "salt")
+    # one plan at every size: a broadcast of pairs would only do for few
+    return (members.unionByName(centres).join(texts.hint("merge"), "did").repartition("c", "salt")
             .sortWithinPartitions("c", "salt", "role").mapInArrow(_confirm(shingle, percent), "u long, v long")
             .distinct())
 
@@ -223,7 +239,7 @@ def _compare(shingle: int, percent: int, limit: int):
     return run
 
 
-def _left_over(docs: DataFrame, members: DataFrame, reps: DataFrame, roots: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _left_over(texts: DataFrame, members: DataFrame, reps: DataFrame, roots: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between different components of a bucket that its smallest member did not settle."""
     limit = sketch_distance(percent)
     rooted = (members.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
@@ -235,7 +251,7 @@ def _left_over(docs: DataFrame, members: DataFrame, reps: DataFrame, roots: Data
     small = (open_rows.where(F.col("size") <= SMALL).where("rep != c").select("bk", "rep", "root")
              .join(reps.select("rep", "odd"), "rep").repartition("bk").sortWithinPartitions("bk"))
     pairs = cut_lineage(small.mapInArrow(_propose(limit), "u long, v long").distinct(), "near-proposed")
-    links = confirmed(docs, pairs, shingle, percent)
+    links = confirmed(texts, pairs, shingle, percent)
 
     large = cut_lineage(open_rows.where(F.col("size") > SMALL).select("rep", "c", "root"), "near-large")
     if large.isEmpty():
@@ -248,7 +264,7 @@ def _left_over(docs: DataFrame, members: DataFrame, reps: DataFrame, roots: Data
     blocks = grouped.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
                                       .cast("int").alias("blocks"))
     rows = (grouped.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            .join(docs.select(id_key().alias("rep"), "text").where(F.col("text").isNotNull()), "rep")
+            .join(texts.withColumnRenamed("did", "rep").hint("merge"), "rep")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("g", "rep", "root", "odd", "text", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
                     F.expr("CASE WHEN block = other THEN 2 WHEN block < other THEN 0 ELSE 1 END").alias("side")))
@@ -279,7 +295,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     far = "aggregate(zip_with(a.odd, b.odd, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     near = (pairs.join(sketches.alias("a"), F.expr("u = a.rep")).join(sketches.alias("b"), F.expr("v = b.rep"))
             .where(F.expr(far) <= limit).select("u", "v"))
-    links = cut_lineage(confirmed(docs, cut_lineage(near, "near-pairs"), shingle, percent), "near-links")
+    texts = _in_play(docs, members.select(F.col("rep").alias("did")))
+    links = cut_lineage(confirmed(texts, cut_lineage(near, "near-pairs"), shingle, percent), "near-links")
     # rows of one id with several texts, and sets already known equal
     same = live.join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).select("did", "n", "d1", "d2", "rep")
     owners = cut_lineage(same, "near-owners")
@@ -287,7 +304,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
              .select("u", "v"))
     links = links.unionByName(split)
     roots = component_roots(links)
-    more = cut_lineage(_left_over(docs, members, reps, roots, shingle, percent), "near-left-over")
+    more = cut_lineage(_left_over(texts, members, reps, roots, shingle, percent), "near-left-over")
     if not more.isEmpty():
         roots = component_roots(roots.select("u", F.col("root").alias("v")).unionByName(more))
     placed = (owners.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
