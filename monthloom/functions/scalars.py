@@ -32,6 +32,13 @@ def domain_rank(value: Column, domain: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(d) for d in domain]), value).cast("int")
 
 
+def strict_rank(value: Column, domain: Sequence[str], what: str) -> Column:
+    """:func:`domain_rank` that fails on a value outside the domain instead of losing it."""
+    rank = domain_rank(value, domain)
+    named = F.concat(F.lit(f"{what} outside {list(domain)}: "), value)
+    return F.when(rank == 0, F.raise_error(named).cast("int")).otherwise(rank)
+
+
 def domain_value(rank: Column, domain: Sequence[str]) -> Column:
     """Inverse of :func:`domain_rank`; NULL where the value was outside the domain."""
     return F.try_element_at(F.array(*[F.lit(d) for d in domain]), F.nullif(rank, F.lit(0)))

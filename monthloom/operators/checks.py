@@ -31,8 +31,8 @@ def changed_entities(panel: DataFrame, attribute: str) -> DataFrame:
 
 
 def sex_changes(panel: DataFrame) -> DataFrame:
-    """One row per additional sex of an entity."""
-    variants = panel.groupBy("id", "sex").agg(F.count("*").alias("n"))
+    """One row per additional sex of an entity; a missing sex is none."""
+    variants = panel.where(F.col("sex").isNotNull()).groupBy("id", "sex").agg(F.count("*").alias("n"))
     return mark_repeats(variants, ["id"], ["sex"]).where("repeat").select("id", "sex", "n")
 
 
@@ -46,10 +46,11 @@ def name_changes(panel: DataFrame, scope: str = "entity") -> DataFrame:
     """``id, name`` of names an entity took after its first one.
 
     ``scope='entity'`` compares with the entity's own first name; ``'global'`` lists only names that
-    are nobody's first name.
+    are nobody's first name. A missing name is no name: the first one is the earliest that is known.
     """
-    variants = panel.select("id", "name").distinct()
-    firsts = first_per_key(panel.select("id", "year", "mon", "name"), ["id"]).select("id", "name")
+    named = panel.where(F.col("name").isNotNull())
+    variants = named.select("id", "name").distinct()
+    firsts = first_per_key(named.select("id", "year", "mon", "name"), ["id"]).select("id", "name")
     if scope == "entity":
         return variants.join(firsts, ["id", "name"], "left_anti")
     if scope == "global":

@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def learn_categories(df: DataFrame, columns: Sequence[str], limit: int = 256) -> dict[str, list]:
-    """Sorted distinct values per column, found in one job; refuses columns above ``limit``."""
+def learn_categories(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, list]:
+    """Sorted distinct values per column, found in one job.
+
+    Each value becomes a column of the encoded table; ``limit`` refuses columns with more of them.
+    """
     if not columns:
         return {}
     seen = (df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("p"))
-        .select("p.*").distinct().limit(limit * len(columns) + 1).collect())
+        .select("p.*").distinct())
+    seen = (seen if limit is None else seen.limit(limit * len(columns) + 1)).collect()
     found: dict[str, list] = {c: [] for c in columns}
     for row in seen:
         found[row["c"]].append(row["v"])
-    crowded = [c for c, v in found.items() if len(v) > limit]
-    if crowded or len(seen) > limit * len(columns):
+    crowded = [c for c, v in found.items() if limit is not None and len(v) > limit]
+    if crowded or limit is not None and len(seen) > limit * len(columns):
         raise ValueError(f"too many categories to one-hot encode: {crowded}")
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("integer", "long", "short", "double")}
     return {c: _ordered(v, c in numeric) for c, v in found.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions.aggregates import aggregate, earliest, latest
 from monthloom.functions.periods import PeriodSpec, month_index
-from monthloom.functions.scalars import age_in, domain_rank, domain_value, fingerprint
+from monthloom.functions.scalars import age_in, domain_value, fingerprint, strict_rank
 from monthloom.model import FLAGS, SEXES
 from monthloom.operators.clean import CleaningRules, clean_panel, recode_rows
 
@@ -21,7 +21,8 @@ class FeatureSpec:
     """One aggregated column.
 
     ``domain`` lists the values a string column can take, shortest first. Such columns travel as
-    small integers, which keeps the aggregation hash-based. ``missing`` fills periods without rows.
+    small integers, which keeps the aggregation hash-based; another value fails the query. Without a domain
+    any string can come. ``missing`` fills periods without rows.
     """
 
     column: str
@@ -39,7 +40,7 @@ class FeatureSpec:
 
     def builder(self):
         if self.domain and self.agg == "str":
-            return lambda c: F.max(domain_rank(c, self.domain))
+            return lambda c: F.max(strict_rank(c, self.domain, self.column))
         return aggregate(self.agg)
 
     def decode(self, cell: Column) -> Column:
@@ -65,7 +66,8 @@ STRATEGIES = ("preaggregate", "cluster", "conditional", "joined")
 def long_features(panel: DataFrame, specs: Sequence[FeatureSpec], period: PeriodSpec,
                   extra: Sequence[Column] = (), decode: bool = True) -> DataFrame:
     """One row per entity and period with all features computed in a single aggregation."""
-    cells = (panel.groupBy("id", period.ordinal_column().alias("period_ord"))
+    cells = (panel.where(F.col("year").isNotNull() & F.col("mon").isNotNull())
+             .groupBy("id", period.ordinal_column().alias("period_ord"))
              .agg(*[s.builder()(F.col(s.column)).alias(s.name) for s in specs], *extra))
     if decode:
         cells = cells.withColumns({s.name: s.decode(F.col(s.name)) for s in specs if s.domain})
@@ -177,27 +179,29 @@ def entity_base(panel: DataFrame, attributes: Sequence[str] = ("sex", "k", "age"
 
 def feature_table(panel: DataFrame, rules: CleaningRules, period: PeriodSpec, ordinals: Sequence[int],
                   specs: Sequence[FeatureSpec] = DEFAULT_FEATURES, keep: str = "first",
-                  strategy: str = "preaggregate") -> DataFrame:
+                  strategy: str = "preaggregate", sexes: Sequence[str] | None = SEXES) -> DataFrame:
     """Clean a raw panel and build its wide feature table: ``id, sex, k, age`` and the cells.
 
     With the documented birth-year repair every cleaning decision is about a whole entity, so the
     evidence for it is gathered by the same aggregation as the features and applied afterwards:
     no join, no window over an entity's rows. The other repair decides row by row and goes
     through :func:`clean_panel`. ``strategy`` is ``preaggregate`` or ``cluster`` as in
-    :func:`wide_features`.
+    :func:`wide_features`. A sex outside ``sexes`` fails the query; with None any can come. Rows without a
+    month take no part. All cleaned entities are kept, also those without rows in ``ordinals``.
     """
     if strategy not in ("preaggregate", "cluster"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if rules.birth_fix != "documented":
         cleaned = clean_panel(panel, rules)
         base = entity_base(cleaned, keep=keep)
-        return base.join(wide_features(cleaned, specs, period, ordinals, strategy), "id")
+        return base.join(wide_features(cleaned, specs, period, ordinals, strategy), "id", "left")
 
     pick = earliest if keep == "first" else latest
     at = month_index()
     b = F.col("birth_year")
     donor = rules.donor(b)
-    rows = recode_rows(panel, rules).withColumn("sex_code", domain_rank(F.col("sex"), SEXES))
+    sex = F.col("sex") if sexes is None else strict_rank(F.col("sex"), sexes, "sex")
+    rows = recode_rows(panel, rules).withColumn("sex_code", sex)
     evidence = [
         F.min(fingerprint(F.col("sex"))).alias("sex_low"),
         F.max(fingerprint(F.col("sex"))).alias("sex_high"),
@@ -221,7 +225,7 @@ def feature_table(panel: DataFrame, rules: CleaningRules, period: PeriodSpec, or
                  _cell_map(specs).alias("cells"))
             .where(~F.col("sex_conflict") & F.col("known_birth").isNotNull()))
     age = age_in(rules.ref_year, F.coalesce("own_birth", "known_birth"))
-    shaped = (wide.withColumns({"sex": domain_value(F.col("sex_code"), SEXES), "age": age})
+    shaped = (wide.withColumns({"sex": F.col("sex_code") if sexes is None else domain_value(F.col("sex_code"), sexes), "age": age})
               .selectExpr("id", "sex", "k", "age", *_cells_from_map(specs, period, ordinals)))
     return _decode_wide(shaped, specs, period, ordinals)
 

@@ -42,7 +42,7 @@ def make_models(is_clf: bool, n_features: int, pca: Sequence[int] = PCA_SIZES, t
         return RandomForestRegressor(featureSubsetStrategy="all", **kwargs)
 
     return {
-        f"PCA_{k}-RF_{n}": Pipeline(stages=[
+        f"PCA_{min(k, n_features)}-RF_{n}": Pipeline(stages=[
             StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred"),
             PCA(k=min(k, n_features), inputCol="centred", outputCol="components"),
             forest(n)])

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, value: str, by: str, categories: Sequence, probs: Sequence[float],
+def _of(df: DataFrame, by: str, categories: Sequence | None) -> DataFrame:
+    return df if categories is None else df.where(F.col(by).isin(list(categories)))
+
+
+def exact_quantiles(df: DataFrame, value: str, by: str, categories: Sequence | None, probs: Sequence[float],
                     accuracy: int = 10_000) -> DataFrame:
-    """``by, n, q1, q2, …``: linearly interpolated quantiles for each category in ``categories``.
+    """``by, n, q1, q2, …``: linearly interpolated quantiles for each category in ``categories``, or for each
+    observed one, rows without a category among them, if None.
 
     1. A mergeable sketch per category brackets each wanted rank (error at most ``1/accuracy`` of
        the rows; the bracket is eight times wider, and spans everything in small categories).
@@ -19,12 +24,12 @@ def exact_quantiles(df: DataFrame, value: str, by: str, categories: Sequence, pr
        a single count.
     3. A running sum over that small table gives exact ranks.
 
-    Both passes combine map-side. The bracket table has one row per listed category, which bounds
-    what is broadcast.
+    Both passes combine map-side. The bracket table has one row per category; listed ones bound what is
+    broadcast, otherwise the planner decides by size.
     """
     probs = sorted(probs)
     wanted = range(len(probs))
-    data = (df.where(F.col(by).isin(list(categories)) & F.col(value).isNotNull())
+    data = (_of(df, by, categories).where(F.col(value).isNotNull())
             .select(F.col(by).alias("c"), F.col(value).cast("double").alias("v")))
     margin = 8.0 / accuracy
     bounds = [min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)]
@@ -40,7 +45,9 @@ def exact_quantiles(df: DataFrame, value: str, by: str, categories: Sequence, pr
     v = F.col("v")
     inside = reduce(lambda a, b: a | b, [v.between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in wanted])
     gap = reduce(lambda a, b: a + b, [(v > F.col(f"hi{i}")).cast("int") for i in wanted])
-    collapsed = (data.join(F.broadcast(brackets), "c")
+    brackets = brackets.withColumnRenamed("c", "b")
+    brackets = brackets if categories is None else F.broadcast(brackets)
+    collapsed = (data.join(brackets, F.col("c").eqNullSafe(F.col("b")))
                  .groupBy("c", "n", F.when(inside, v).alias("q"), F.when(~inside, gap).alias("gap"))
                  .agg(F.count("*").alias("m"), F.min("v").alias("position")))
     in_order = Window.partitionBy("c").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
@@ -59,7 +66,7 @@ def exact_quantiles(df: DataFrame, value: str, by: str, categories: Sequence, pr
         quantile(p).alias(f"q{i + 1}") for i, p in enumerate(probs)])
 
 
-def box_stats(df: DataFrame, value: str, by: str, categories: Sequence, accuracy: int = 10_000) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str, categories: Sequence | None = None, accuracy: int = 10_000) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the last values within 1.5 IQR, outlier count."""
     quartiles = exact_quantiles(df, value, by, categories, (0.25, 0.5, 0.75), accuracy)
     iqr = F.col("q3") - F.col("q1")
@@ -67,9 +74,11 @@ def box_stats(df: DataFrame, value: str, by: str, categories: Sequence, accuracy
                               (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
     v = F.col("v")
     inside = v.between(F.col("lo"), F.col("hi"))
-    return (df.where(F.col(by).isin(list(categories)) & F.col(value).isNotNull())
+    fences = fences.withColumnRenamed("c", "b")
+    fences = fences if categories is None else F.broadcast(fences)
+    return (_of(df, by, categories).where(F.col(value).isNotNull())
             .select(F.col(by).alias("c"), F.col(value).cast("double").alias("v"))
-            .join(F.broadcast(fences), "c")
+            .join(fences, F.col("c").eqNullSafe(F.col("b")))
             .groupBy(F.col("c").alias(by), "n", "q1", "median", "q3")
             .agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
                  F.count_if(~inside).alias("outliers")))

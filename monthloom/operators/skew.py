@@ -13,12 +13,14 @@ SALTS = 16
 def salted_join(rows: DataFrame, facts: DataFrame, keys: str | Sequence[str], how: str, salts: int = SALTS) -> DataFrame:
     """Join ``rows`` with a table holding one row per key, spreading each key over ``salts`` tasks.
 
-    The salt is a hash of the row, so a retried task assigns it again the same way. ``facts`` is
+    The salt is a hash of the month where rows have one, so that no other column is read for it, else of the
+    whole row; a retried task assigns it again the same way. ``facts`` is
     repeated per salt, which pays when it is much smaller than ``rows``. The result is not
     clustered by the key: an aggregation on top combines map-side before it shuffles.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hashed = [c for c in rows.columns if c not in keys] or keys
+    months = [c for c in ("year", "mon") if c in rows.columns and c not in keys]
+    hashed = months or [c for c in rows.columns if c not in keys] or keys
     salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     repeated = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("salt", salt).join(repeated, [*keys, "salt"], how).drop("salt")

@@ -179,11 +179,12 @@ def xy_split_half(spark, sf):
     return rounded(both.groupBy("label", "side").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)
 
 
+HALVES = [PeriodSpec(6).suffix(o) for o in span(6) if o < TASKS["clf_6"].target]
 CATEGORIES = {
     "age_bin": ["(5, 18]", "(18, 25]", "(25, 35]", "(35, 50]", "(50, 65]", "(65, 75]", "(75, 110]"],
     "sex": ["F", "M"],
     "k": ["10", "20", "40"],
-    **{f"flag_str_{s}": ["", "i"] for s in ("1998_6", "1999_0", "1999_6", "2000_0")},
+    **{f"flag_str_{s}": ["", "i"] for s in HALVES},
 }
 
 
@@ -191,7 +192,7 @@ def _one_hot_sql() -> str:
     flags = ", ".join(f"""CAST({c} = '{v}' AS DOUBLE) AS "{c}={v}" """ for c, vs in CATEGORIES.items()
                       for v in (vs[1:] if len(vs) == 2 else vs))
     numeric = [f"{f}_{s}" for f in ("gms_sum", "gms_mean", "rat_mean", "tit_max", "wtit_max")
-               for s in ("1998_6", "1999_0", "1999_6", "2000_0")]
+               for s in HALVES]
     return dataset_ctes(6, "clf") + f"SELECT id, {flags}, {', '.join(numeric)}, label, baseline FROM dataset"
 
 

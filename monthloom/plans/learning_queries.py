@@ -14,7 +14,7 @@ from monthloom.operators.split import split_panel, split_sizes
 from monthloom.plans.feature_queries import TASKS, dataset_of
 from monthloom.plans.registry import query, rounded
 from monthloom.plans.sql_blocks import PANEL, clf_metrics_sql, dataset_ctes, reg_metrics_sql, split_ctes
-from monthloom.sources.driver_tables import label_predictions, orders_panel, table
+from monthloom.sources.driver_tables import PANEL_REF_YEAR, label_predictions, orders_panel, table
 from monthloom.sources.store import ResultStore, cut_lineage, scratch_path
 
 
@@ -60,9 +60,10 @@ p AS (SELECT * FROM halves WHERE pred IS NOT NULL AND label IS NOT NULL)
 
 
 def half_year_predictions(spark, sf):
-    """The second half of 2000 predicted by the first."""
+    """The second half of the last full year predicted by the first."""
     period = PeriodSpec(6)
-    wide = wide_features(orders_panel(spark, sf), [FeatureSpec("rat", "mean")], period, [4000, 4001])
+    halves = [period.ordinal(PANEL_REF_YEAR, start) for start in (0, 6)]
+    wide = wide_features(orders_panel(spark, sf), [FeatureSpec("rat", "mean")], period, halves)
     return wide.select("id", F.col("rat_mean_2000_0").alias("pred"), F.col("rat_mean_2000_6").alias("label")).dropna()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from monthloom.functions.periods import PeriodSpec, month_label
-from monthloom.model import SEXES, TITLES, WOMEN_TITLES
+from monthloom.model import TITLES, WOMEN_TITLES
 from monthloom.operators import panel_diff, profile
 from monthloom.operators.features import FeatureSpec, long_features
 from monthloom.operators.quantiles import box_stats, numeric_summary
@@ -34,7 +34,7 @@ def country_counts_by_sex(spark, sf):
        + box_sql("sizes", "n_ids", "sex"))
 def country_size_box(spark, sf):
     sizes = profile.country_counts(orders_panel(spark, sf), by_sex=True).withColumnRenamed("n", "n_ids")
-    return rounded(box_stats(sizes, "n_ids", "sex", SEXES))
+    return rounded(box_stats(sizes, "n_ids", "sex"))
 
 
 @query("birth_year_hist", PANEL + """, y AS (SELECT DISTINCT id, birth_year FROM panel WHERE birth_year BETWEEN 1920 AND 2010),
@@ -188,14 +188,15 @@ def always_active_diff(spark, sf):
 _HALVES = PANEL + """, halves AS (
   SELECT id, CAST(year * 2 + (mon - 1) // 6 AS INT) AS period_ord, avg(rat) AS rat_mean, max(sex) AS sex FROM panel GROUP BY 1, 2),
 diffs AS (SELECT a.id, a.sex, z.rat_mean - a.rat_mean AS diff FROM halves a JOIN halves z ON a.id = z.id
-          WHERE a.period_ord = 3998 AND z.period_ord = 4001)
+          WHERE a.period_ord = (SELECT min(period_ord) FROM halves) AND z.period_ord = (SELECT max(period_ord) FROM halves))
 """
 
 
 def _half_year_diffs(spark, sf):
-    halves = long_features(orders_panel(spark, sf), [FeatureSpec("rat", "mean")], PeriodSpec(6),
-                           extra=[F.max("sex").alias("sex")])
-    return profile.first_last_difference(halves, "period_ord", 3998, 4001, "rat_mean", carry=["sex"])
+    panel, period = orders_panel(spark, sf), PeriodSpec(6)
+    observed = period.observed_span(panel)
+    halves = long_features(panel, [FeatureSpec("rat", "mean")], period, extra=[F.max("sex").alias("sex")])
+    return profile.first_last_difference(halves, "period_ord", observed[0], observed[-1], "rat_mean", carry=["sex"])
 
 
 @query("first_last_diff", _HALVES + "SELECT id, sex, round(diff, 6) AS diff FROM diffs")
@@ -205,7 +206,7 @@ def first_last_diff(spark, sf):
 
 @query("rating_change_box", _HALVES + box_sql("diffs", "diff", "sex"))
 def rating_change_box(spark, sf):
-    return rounded(box_stats(_half_year_diffs(spark, sf), "diff", "sex", SEXES))
+    return rounded(box_stats(_half_year_diffs(spark, sf), "diff", "sex"))
 
 
 @query("rating_by_month", PANEL + """SELECT year || ' / ' || lpad(CAST(mon AS VARCHAR), 2, '0') AS ym, count(*) AS n,

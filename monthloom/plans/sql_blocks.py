@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 REF = 2000
-FIRST, LAST = (1998, 12), (2000, 12)
+FIRST, LAST = (1995, 1), (2001, 8)
 
 PANEL = """WITH src AS (
   SELECT o.o_custkey AS id, o.o_orderkey AS ok, o.o_orderdate AS d, o.o_orderstatus AS st,
          o.o_orderpriority AS pr, o.o_totalprice AS tp, c.c_name AS cname, n.n_name AS nat,
          row_number() OVER (PARTITION BY o.o_custkey, year(o.o_orderdate), month(o.o_orderdate)
-                            ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS rn
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-  WHERE o.o_orderdate >= TIMESTAMP '1998-12-01 00:00:00' AND o.o_orderdate < TIMESTAMP '2001-01-01 00:00:00'),
+                            ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS rn,
+         sum(o.o_orderkey % 23) OVER (PARTITION BY o.o_custkey, year(o.o_orderdate), month(o.o_orderdate)) AS games
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
 b AS (
   SELECT *, CASE WHEN id % 40 = 0 AND ok % 2 = 0 THEN 'M' WHEN id % 10 = 0 THEN 'F' ELSE 'M' END AS sex,
          CASE pr WHEN '1-URGENT' THEN 'GM' WHEN '2-HIGH' THEN 'IM' WHEN '3-MEDIUM' THEN 'FM'
@@ -30,7 +30,7 @@ panel AS (
        CASE WHEN id % 11 = 0 THEN 'IA' END AS otit,
        CASE ok % 5 WHEN 1 THEN 'A' WHEN 2 THEN 'AB' WHEN 3 THEN 'ABC' WHEN 4 THEN 'B' END AS foa,
        CAST(rat AS INT) AS rat,
-       CAST(ok % 23 AS INT) AS gms,
+       CAST(games AS INT) AS gms,
        CAST(CASE WHEN rat >= 2400 THEN 10 WHEN id % 3 = 0 THEN 40 ELSE 20 END AS INT) AS k,
        CASE WHEN st = 'F' THEN CASE WHEN sex = 'F' THEN 'wi' ELSE 'i' END WHEN sex = 'F' THEN 'w' END AS flag,
        CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS mon

@@ -62,7 +62,7 @@ def test_task_run_and_resume(spark, sf_dir):
 
     store = ResultStore(spark, scratch_path(spark, "run"))
     small = dict(pca=(2,), trees=(5,), max_depth=3)
-    args = (orders_panel(spark, sf_dir), CleaningRules(2000), store, 2000, (1998, 12), (2000, 12))
+    args = (orders_panel(spark, sf_dir), CleaningRules(2000), store, 2000, (1995, 1), (2001, 8))
     run_tasks(*args, periods=((6, 6),), kinds=("clf",), **small)
     both = run_tasks(*args, periods=((6, 6),), kinds=("clf", "regr"), **small)
     assert rows(both.groupBy("task", "type").count()) == [

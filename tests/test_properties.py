@@ -21,7 +21,7 @@ from monthloom.plans.registry import rounded
 from monthloom.sources.driver_tables import orders_panel
 
 RULES = CleaningRules(2000)
-FIRST, LAST = (1998, 12), (2000, 12)
+FIRST, LAST = (1995, 1), (2001, 8)
 
 
 @pytest.fixture(scope="module")
