@@ -12,8 +12,8 @@ from monthloom.sources.store import cut_lineage
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language of the training labels (no text, no letter) go."""
-    return (language.identify(docs, tuple(docs.columns))
-            .where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns))
+    named = language.identify(docs, tuple(docs.columns), ("_held_out", "_lang_pred", "_score"))
+    return named.where(F.col("_lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,12 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     draw = mixing.seeded(F.lit("copies"), F.col("doc_id").cast("string")) / float(1 << 60)
     taken = (mixing.mix_sources(docs)
              .withColumn("copies", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + draw).cast("int"))
-             .groupBy(F.col("doc_id").alias("_d"), "text_md5").agg(F.min("copies").alias("copies")).where("copies > 0"))
-    return (docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-            .join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & docs["text"].isNotNull()
-                  & (F.col("text_md5") == taken["text_md5"]))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+             .groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).agg(F.min("copies").alias("_copies"))
+             .where("_copies > 0"))
+    # a text taken at all has words, so it is not null
+    return (docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.md5(docs["text"]) == F.col("_md5")))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+            .select(*docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,43 +91,49 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
 class WordPool:
     """Ids of words seen before, so that each is encoded once. When there are too many, words met only once go."""
 
-    MOST_WORDS, MOST_IDS = 300_000, 3_000_000
+    MOST_WORDS, MOST_IDS = 800_000, 6_000_000
 
     def __init__(self, encode):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[str, dict[str, int]] = {}  # by what leads the word
+        self.known: dict[str, tuple[pa.Array, np.ndarray]] = {}  # by what leads them: words and their slots
         self.sizes, self.flat, self.met = array("q"), array("i"), np.zeros(0, np.uint8)
 
     def shrink(self) -> None:
-        old, sizes, met = self.places, np.array(self.sizes), self.met
-        starts, flat = np.cumsum(sizes) - sizes, np.array(self.flat)
+        old, sizes, met, flat = self.known, np.array(self.sizes), self.met, np.array(self.flat)
+        starts = np.cumsum(sizes) - sizes
         self.clear()
         if (met > 1).sum() > self.MOST_WORDS // 2:
             return
-        kept = [(lead, [(w, s) for w, s in place.items() if met[s] > 1]) for lead, place in old.items()]
-        slots = np.array([s for _, pairs in kept for _, s in pairs], np.int64)
-        at = 0
-        for lead, pairs in kept:
-            self.places[lead] = dict(zip([w for w, _ in pairs], range(at, at + len(pairs))))
-            at += len(pairs)
-        self.sizes.extend(sizes[slots].tolist())
-        self.flat.extend(flat[ragged(starts[slots], sizes[slots])].tolist())
+        at, kept = 0, []
+        for lead, (words, slots) in old.items():
+            often = met[slots] > 1
+            kept.append(slots[often])
+            self.known[lead] = words.filter(pa.array(often)), np.arange(at, at + len(kept[-1]))
+            at += len(kept[-1])
+        slots = np.concatenate(kept)
+        self.sizes.frombytes(sizes[slots].tobytes())
+        self.flat.frombytes(flat[ragged(starts[slots], sizes[slots])].tobytes())
         self.met = np.ones(len(slots), np.uint8)
 
-    def slots(self, words: list[str], lead: str) -> np.ndarray:
-        place = self.places.setdefault(lead, {})
-        new = [w for w in dict.fromkeys(words) if w not in place]
-        if new:
+    def slots(self, words: pa.Array, lead: str) -> np.ndarray:
+        """Slots of distinct words; those not met before are encoded."""
+        known, slots = self.known.get(lead, (words.slice(0, 0), np.zeros(0, np.int64)))
+        at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+        fresh = at < 0
+        found = np.empty(len(words), np.int64)
+        found[~fresh] = slots[at[~fresh]]
+        if fresh.any():
+            new = words.filter(pa.array(fresh))
             encode, base = self.encode, len(self.sizes)
-            lists = [encode(lead + w) for w in new]
+            lists = [encode(lead + w) for w in new.to_pylist()]
             self.sizes.extend(map(len, lists))
             self.flat.extend(chain.from_iterable(lists))
-            place.update(zip(new, range(base, base + len(new))))
             self.met = np.r_[self.met, np.zeros(len(new), np.uint8)]
-        found = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            found[fresh] = np.arange(base, base + len(new))
+            self.known[lead] = pa.concat_arrays([known, new]), np.r_[slots, found[fresh]]
         self.met[found] = np.minimum(self.met[found], 8) + 1
         return found
 
@@ -154,10 +160,11 @@ class WordPool:
         needed = np.zeros(len(words), bool)
         needed[codes[led]] = True
         slot_of = np.zeros(len(words), np.int64)
-        slot_of[needed] = self.slots(words.filter(pa.array(needed)).to_pylist(), lead)
+        slot_of[needed] = self.slots(words.filter(pa.array(needed)), lead)
         slots = slot_of[codes]
         if not lead_first:
-            slots[firsts] = self.slots(words.take(pa.array(codes[firsts])).to_pylist(), "")
+            heads, which = np.unique(codes[firsts], return_inverse=True)
+            slots[firsts] = self.slots(words.take(pa.array(heads)), "")[which]
         others = [(i, whole(texts[i].as_py() or "")) for i in np.flatnonzero(~safe).tolist()]
         return self._gather(slots, bounds, used, others)
 

@@ -159,8 +159,10 @@ def _predict(shared):
     return run
 
 
-def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row with ``held_out``, ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",),
+             names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of every row with ``held_out``, ``lang_pred`` and ``score``, or as ``names`` calls them
+    where a kept column has such a name.
 
     Learns from text and label of the rows whose ``crc32(doc_id) % 4`` is not 2 (a null id, text or label
     never teaches). A null text, one without a letter, or no labelled text at all: ``und`` with score 0.
@@ -172,10 +174,10 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                        F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_letters"),
                        F.coalesce(normal(F.col("text")), F.lit("")).alias("_normal"))
     if not model.languages:
-        return base.select(*keep, F.col("_held").alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return base.select(*keep, F.col("_held").alias(names[0]), F.lit(UNKNOWN).alias(names[1]), F.lit(0.0).alias(names[2]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
     found = base.mapInArrow(_predict(shared), f"{fields}, _pred string, _score double")
-    return found.select(*keep, F.col("_held").alias("held_out"),
-                        F.when(F.col("_letters"), F.col("_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-                        F.when(F.col("_letters"), F.col("_score")).otherwise(0.0).alias("score"))
+    return found.select(*keep, F.col("_held").alias(names[0]),
+                        F.when(F.col("_letters"), F.col("_pred")).otherwise(UNKNOWN).alias(names[1]),
+                        F.when(F.col("_letters"), F.col("_score")).otherwise(0.0).alias(names[2]))

@@ -134,7 +134,7 @@ def _blocks(source: str, end_id: int):
         own, pool = _loaded(source)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 23):
                 ids, bounds = own.encode(pool, part.column("text"))
                 counts = np.diff(bounds)
                 closed = np.insert(ids, bounds[1:], end_id).astype(np.uint32)
