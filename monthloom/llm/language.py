@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from monthloom.llm.common import ship, utf8_view
+from monthloom.llm.common import ship, slices, utf8_view
 
 UNKNOWN = "und"
 #: Bound of the training sample, for each language: so many documents, and of each so many code points.
@@ -149,8 +149,7 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for part in slices(batch, "_normal", 1 << 23):
                 best, score = model.predict(*utf8_view(part.column("_normal")))
                 names = np.array(model.languages, dtype=object)[best]
                 rest = [part.column(c) for c in range(part.num_columns - 1)]

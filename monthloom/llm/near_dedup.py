@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.llm.common import NULL_ID, id_key, ship, utf8_view
+from monthloom.llm.common import NULL_ID, id_key, ship, slices, utf8_view
 from monthloom.llm.components import component_roots
 from monthloom.llm.shingles import mix, shingle_sets
 from monthloom.sources.store import cut_lineage
@@ -72,8 +72,7 @@ def _signatures(shingle: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in slices(batch, "text"):
                 sizes, digests, keys, odds = [], [], [], []
                 for s in shingle_sets(*utf8_view(part.column("text")), shingle):
                     sizes.append(len(s))
@@ -119,8 +118,7 @@ def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centres = None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in slices(batch, "text"):
                 ids, centre, salt, role = (part.column(c).to_numpy().tolist() for c in ("did", "c", "salt", "role"))
                 us, vs = [], []
                 for i, s in enumerate(shingle_sets(*utf8_view(part.column("text")), shingle)):

@@ -10,7 +10,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,7 +25,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (one more than texts).
 
-    A word is a run of bytes other than white space; A-Z count as a-z. Works through about 2 MB at a time,
+    A word is a run of bytes other than white space; A-Z count as a-z. Works through about 512 KB at a time,
     cut between words.
     """
     first_of_text = np.zeros(len(data) + 1, bool)
