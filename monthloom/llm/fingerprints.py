@@ -27,7 +27,7 @@ _PER_WORD = 64 // LOW
 ATTEMPTS = 12
 _ATTEMPTS = [random.Random(f"bins {t}").sample(range(BINS), BINS) for t in range(ATTEMPTS)]
 #: Coarse pieces of the id range, and rows aimed at in each bucket of neighbouring ids.
-PIECES, BUCKET_ROWS = 64, 4096
+PIECES, BUCKET_ROWS = 64, 1024
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
