@@ -23,7 +23,7 @@ PATTERNS = {
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])",
     "date": r"(?<![\p{L}\p{N}-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}-])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Days of a century as two factors: 1900-1999 has 36524, 2000-2099 has 36525.

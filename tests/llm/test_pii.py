@@ -40,6 +40,12 @@ def test_cards_stay_valid_and_linked(spark):
     assert r.text.endswith("; 4111111111111112 x4111111111111111") and r.n_card == 2
 
 
+def test_neighbouring_numbers_are_told_apart(spark):
+    r = one(spark, "4952935900253052 4111111111111111 3782 822463 10005")
+    first, second, *third = r.text.split(" ")
+    assert r.n_card == 3 and luhn(first) and luhn(second) and luhn("".join(third))
+
+
 def test_dates_are_permuted_within_their_century(spark):
     for century, (first, a, b) in _CENTURY.items():
         days = spark.range(a * b).select(F.date_format(F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"),
