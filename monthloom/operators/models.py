@@ -27,7 +27,7 @@ def vector_size(dataset: DataFrame, column: str = "features") -> int:
 
 def make_models(is_clf: bool, n_features: int, pca: Sequence[int] = PCA_SIZES, trees: Sequence[int] = FOREST_SIZES,
                 max_depth: int = 30, seed: int = 42, memory_mb: int = 512) -> dict[str, Pipeline]:
-    """``PCA_k-RF_n`` pipelines. ``k`` is capped at the vector size, the name keeps the request.
+    """``PCA_k-RF_n`` pipelines. ``k`` is at most the vector size, which the name then tells.
 
     Forests grow to ``max_depth``; 30 is the deepest Spark allows. ``memory_mb`` bounds the
     statistics one task gathers per pass: more of it means fewer passes over the training rows.

@@ -34,10 +34,10 @@ def test_models_beat_the_baseline(spark, planted, kind):
     data, is_clf = planted[kind], kind == "clf"
     assert vector_size(data) == 3
     models = make_models(is_clf, 3, pca=(2, 20), trees=(10,), max_depth=5)
-    assert list(models) == ["PCA_2-RF_10", "PCA_20-RF_10"]
+    assert list(models) == ["PCA_2-RF_10", "PCA_3-RF_10"]  # named by the components there are
     predictions, table = evaluate_models(data, models, is_clf)
     assert set(predictions) == set(models)
-    best = {r["name"]: r for r in table.collect()}["PCA_20-RF_10"]
+    best = {r["name"]: r for r in table.collect()}["PCA_3-RF_10"]
     base = baseline_metrics(data, is_clf).where("split = 'val'").first()
     if is_clf:
         assert best["accuracy"] > 0.85 and best["auc"] > base["auc"]
