@@ -149,7 +149,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     table = [[int(v) for v in (cuts[c] or [])] if shares else [] for c in range(CURVES)]
 
     def slab(c: int) -> Column:
-        return sum((F.when(F.col("keys")[c] > v, 1).otherwise(0) for v in table[c]), F.lit(0))
+        passed = F.filter(F.array(*map(F.lit, table[c])).cast("array<bigint>"), lambda v: v < F.col("keys")[c])
+        return F.size(passed) if table[c] else F.lit(0)
     places = F.array(*[F.struct(F.lit(c).alias("curve"), slab(c).alias("slab")) for c in range(CURVES)])
     rows = keyed.select("vec_id", "vec", F.inline(places))
     queries = (keyed.join(good.where("asks").select("vec_id").distinct(), "vec_id", "left_semi")
