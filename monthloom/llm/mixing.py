@@ -1,8 +1,9 @@
 """Mix sources to target weights by Sainte-Laguë apportionment of equal word blocks.
 
 Every source is dealt into shards of about ``shard_docs`` documents in a seeded order. The words of a shard,
-in that order, form equal blocks; seats of one block each go to the shards by highest quotients
-``votes / (2k + 1)``, where the votes of a shard are its part of its source's target. A shard's quota is then
+in that order, form equal blocks; seats of one block each go to the sources by highest quotients
+``target / (2k + 1)``. A source's seats go on to its shards by their words, rounded cumulatively, so that each
+shard is within one seat of its part and none is lost however many shards there are. A shard's quota is then
 taken as whole passes over the shard plus evenly spaced blocks from a seeded start. Blocks are never rows: how
 many taken words fall into a document follows from its place in the shard by integer arithmetic.
 """
@@ -91,27 +92,36 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int =
     """Per row of ``docs``: ``doc_id, source, size, source_size, target, taken, text_md5``.
 
     ``size`` counts words (null text: 0). ``taken`` is how many of the row's words the mix holds, repeats
-    counted: at most ``most`` times its size. A block is so small that the smallest target has
-    ``least_blocks`` of them (one word at least). Repeated rows each count; a null source is a source, a
+    counted: at most ``most`` times its size. A block is so small that every source's target has
+    ``least_blocks`` of them for each of its shards (one word at least). Repeated rows each count; a null source is a source, a
     null id an id. No documents or no words: nothing is taken. Reruns give the same rows.
     """
     sized = cut_lineage(docs.select("doc_id", "source", word_count().alias("size"),
                                     F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     targets = cut_lineage(source_targets(per_source, weights, most), "mix-targets")
-    bounds = targets.agg(F.sum("source_size"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    shards = F.ceil(F.col("source_docs") / shard_docs)
+    # what rounding to blocks can lose in a shard is a fixed part of it, so the block does not grow with the input
+    bounds = targets.agg(F.sum("source_size"), F.min(F.when(F.col("target") > 0, F.col("target") / shards))).first()
     total, block = bounds[0] or 0, max(1, int((bounds[1] or 0) / least_blocks))
 
     known = targets.select(F.col("source").alias("_s"), "source_size", "target", "source_docs")
-    shard = F.pmod(seeded(F.lit(seed), F.lit("shard"), F.col("doc_id").cast("string")),
-                   F.ceil(F.col("source_docs") / shard_docs))
+    shard = F.pmod(seeded(F.lit(seed), F.lit("shard"), F.col("doc_id").cast("string")), shards)
     placed = (sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
               .withColumn("shard", shard))
-    cells = cut_lineage(placed.groupBy("source", "shard").agg(
-        F.sum("size").alias("cell_size"),
-        (F.sum("size") * F.first("target") / F.first("source_size")).alias("votes"))
-        .where("cell_size > 0"), "mix-cells")
-    quotas = (apportion(cells, int(total / block + 0.5))
+    votes = F.col("source_size") * F.col("target") / F.col("source_size")  # in the oracle's order of operations
+    seats = apportion(targets.where("source_size > 0").select("source", F.lit(0).alias("shard"), "source_size", votes.alias("votes")),
+                      int(total / block + 0.5)).select(F.col("source").alias("_s"), "source_size", "quota")
+    cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")).where("cell_size > 0")
+    # one row per shard, never per document
+    so_far = F.sum("cell_size").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+
+    def given(words: str) -> str:
+        """Seats of a source's first ``words`` words; the product may pass 64 bits."""
+        return f"CAST({words} AS DECIMAL(19, 0)) * CAST(quota AS DECIMAL(19, 0)) div CAST(source_size AS DECIMAL(19, 0))"
+    dealt = (cells.withColumn("so_far", so_far).join(seats, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+             .selectExpr("source", "shard", "cell_size", f"({given('so_far')}) - ({given('so_far - cell_size')}) AS quota"))
+    quotas = (cut_lineage(dealt, "mix-quotas")
               .select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "cell_size",
                       F.least(F.col("quota") * block, most * F.col("cell_size")).alias("words"))
               .selectExpr("*", "words div cell_size AS passes", f"(cell_size + {block - 1}) div {block} AS blocks")

@@ -57,3 +57,15 @@ def test_shards_hold_a_hot_source(spark):
         F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
     for taken, target in got.values():
         assert taken == pytest.approx(target, rel=0.01)
+
+
+@pytest.mark.parametrize("shard_docs", [2, 10])
+def test_very_many_shards_keep_every_target(spark, shard_docs):
+    docs = spark.range(12_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 20).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 == 0, "s01").otherwise(F.format_string("s%02d", F.pmod(F.xxhash64("id"), F.lit(20)))).alias("source"))
+    rows = mix_sources(docs, shard_docs=shard_docs, least_blocks=16).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert len(rows) == 20
+    for r in rows:
+        assert r.taken == pytest.approx(r.target, rel=0.02) and r.most <= 3
