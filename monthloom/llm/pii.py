@@ -15,17 +15,27 @@ from monthloom.llm.common import text_or_empty
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: What may be personal data, by kind; the first that matches at a place counts.
+_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
+_INTERNATIONAL = r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}"
+#: What may be personal data, by kind. Of what begins at one place the first that is valid counts, so longer forms come first.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
-             r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])",
-    "date": r"(?<![\p{L}\p{N}-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}-])",
-    "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
+    "email": [_MAIL],
+    "phone": [r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+              r"(?<![\p{L}\p{N}+])\+1[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+              *[rf"{_INTERNATIONAL}(?:[ .-][0-9]{{2,4}}){{{n}}}(?![0-9])" for n in (5, 4, 3, 2)],
+              r"(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"],
+    "ip": [rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])"],
+    "date": [r"(?<![\p{L}\p{N}-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}-])"],
+    "ssn": [r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"],
+    "card": [r"(?<![\p{L}\p{N}]|(?<![0-9])-)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])"],
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NUMBERS = [p for kind, patterns in PATTERNS.items() if kind != "email" for p in patterns]
+#: A mail address, or a run of digit groups with the characters next to it: no number reaches beyond its run.
+#: Possessive, as long runs would else overflow the stack of the matcher.
+ANY = (rf"{_MAIL}|[\p{{L}}\p{{N}}._-]?+[+(]*+(?!{_MAIL})[0-9]++"
+       rf"(?:(?:[ ./()+-]{{1,3}}+|[\p{{L}}\p{{N}}])(?!{_MAIL})[0-9]++)*+[\p{{L}}\p{{N}}-]?+")
+#: A number may begin at a digit group or at a sign before one, and reaches over so many of these at most.
+_BEGIN, _REACH = r"(?=[+(])|(?<![0-9])(?=[0-9])", 10
 #: Days of a century as two factors: 1900-1999 has 36524, 2000-2099 has 36525.
 _CENTURY = {19: ("1900-01-01", 92, 397), 20: ("2000-01-01", 75, 487)}
 
@@ -134,17 +144,65 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
             .when(kind == "card", _card(match, key)).otherwise(match))
 
 
+def _numbers_in(run: Column) -> Column:
+    """A run of digit groups as pieces (``text``, ``kind``): valid numbers, leftmost first, and what is between them.
+
+    Every group start is tried, so a candidate that fails hides no valid one within or after it.
+    """
+    def valid(around: Column) -> Column:
+        """The first valid number after the two characters of context, with its kind."""
+        tried = F.array(*[F.regexp_extract(around, f"(?s)^..({p})", 1) for p in _NUMBERS])
+        judged = F.transform(F.filter(tried, lambda m: m != ""), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+        return F.get(F.filter(judged, lambda c: c["kind"].isNotNull()), 0)
+
+    def candidates(atoms: Column) -> Column:
+        def at(atom: Column, i: Column) -> Column:
+            before = F.lpad(F.substring(F.concat(F.lit("  "), F.coalesce(F.get(atoms, i - 1), F.lit(""))), -2, 2), 2, " ")
+            around = F.concat(before, F.array_join(F.slice(atoms, i + 1, _REACH), ""))
+            found = F.when(F.length(digits_of(around)) >= 4, F.get(F.transform(F.array(around), valid), 0))
+            return F.struct(atom.alias("atom"), found.alias("found"))
+        return F.transform(atoms, at)
+
+    def step(acc: Column, c: Column) -> Column:
+        # at: where the group begins in the run; free: where the last number taken ends
+        taken = (acc["at"] >= acc["free"]) & c["found"].isNotNull()
+        end = acc["at"] + F.length(c["found"]["m"])
+        new = F.struct(acc["at"].alias("at"), end.alias("end"), acc["free"].alias("free"), c["found"]["kind"].alias("kind"))
+        return F.struct((acc["at"] + F.length(c["atom"])).alias("at"), F.when(taken, end).otherwise(acc["free"]).alias("free"),
+                        F.when(taken, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
+
+    def chosen(tried: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast("array<struct<at:int,end:int,free:int,kind:string>>").alias("out"))
+        return F.when(F.exists(tried, lambda c: c["found"].isNotNull()), F.aggregate(tried, start, step))
+
+    def piece(begin: Column, length: Column, kind: Column) -> Column:
+        return F.struct(F.substring(run, begin + 1, length).alias("text"), kind.alias("kind"))
+
+    def cut(done: Column) -> Column:
+        none = F.lit(None).cast("string")
+        numbers = F.flatten(F.transform(done["out"], lambda n: F.array(piece(n["free"], n["at"] - n["free"], none), piece(n["at"], n["end"] - n["at"], n["kind"]))))
+        whole = F.array(F.struct(run.alias("text"), none.alias("kind")))
+        return F.when(done.isNull(), whole).otherwise(F.concat(numbers, F.array(piece(done["free"], F.length(run), none))))
+    tried = F.transform(F.array(F.split(run, _BEGIN, -1)), candidates)
+    return F.get(F.transform(F.transform(tried, chosen), cut), 0)
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and ``n_email, n_phone, n_ip, n_date, n_ssn, n_card``.
 
     Works on whole texts; a null text stays null with counts of 0, an empty one stays empty. Columns of the
     input named like a count are replaced, others pass through.
     """
+    def pieces(m: Column) -> Column:
+        mail = F.array(F.struct(m.alias("text"), F.lit("email").alias("kind")))
+        few = F.array(F.struct(m.alias("text"), F.lit(None).cast("string").alias("kind")))  # too few digits for any kind
+        return F.when(F.contains(m, F.lit("@")), mail).when(F.length(digits_of(m)) < 4, few).otherwise(_numbers_in(m))
     found = (docs.withColumn("_found", F.when(F.rlike(text_or_empty(), F.lit("[0-9]|@")), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-             .withColumn("_kinds", F.when(F.size("_found") > 0, F.transform("_found", kind_of))))
+             .withColumn("_pieces", F.when(F.size("_found") > 0, F.transform("_found", pieces)))
+             .withColumn("_kinds", F.transform(F.flatten("_pieces"), lambda p: p["kind"])))
     rebuilt = F.array_join(F.zip_with(
         F.split("text", ANY, -1),
-        F.zip_with("_found", "_kinds", lambda m, k: pseudonym(m, k, key)),
+        F.transform("_pieces", lambda ps: F.array_join(F.transform(ps, lambda p: pseudonym(p["text"], p["kind"], key)), "")),
         lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
 
     def count(kind: str) -> Column:

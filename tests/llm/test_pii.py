@@ -75,3 +75,21 @@ def test_frames(which, request):
     assert sorted((r.doc_id or 0, r.text is None, len((r.text or "").split("\n"))) for r in got.select("doc_id", "text").collect()) == before
     changed = got.where("n_email + n_phone + n_ip + n_date + n_ssn + n_card = 0").join(df.select("doc_id", "text"), ["doc_id", "text"], "left_anti")
     assert changed.where("doc_id IS NOT NULL AND text IS NOT NULL").count() == 0
+
+
+def test_failed_candidates_hide_nothing(spark):
+    card, phone = "4111 1111 1111 1111", "+1 555 123 4567"
+    texts = [(f"ref 2023 {card}", card, "n_card"), (f"2023-{card.replace(' ', '-')}", card.replace(" ", "-"), "n_card"), (f"{card} 2023", card, "n_card"),
+             (f"({card})", card, "n_card"), (f"{phone} 1234 5678", phone, "n_phone"), (f"12 {phone}", phone, "n_phone"),
+             (f"12 34 a1b {card} x", card, "n_card"), ("1 2.3 10.0.0.1 7", "10.0.0.1", "n_ip"), ("2023 a.1@b.org 7", "a.1@b.org", "n_email")]
+    rows = {r.doc_id: r for r in pseudonymise(spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string"), "k").collect()}
+    for i, (text, value, count) in enumerate(texts):
+        before, after = text.split(value)
+        assert rows[i][count] == 1 and value not in rows[i].text, text
+        assert rows[i].text.startswith(before) and rows[i].text.endswith(after), text
+
+
+def test_long_runs_of_numbers(spark):
+    text = "12 " * 20_000 + "4111 1111 1111 1111"
+    r = one(spark, text)
+    assert r.n_card == 1 and r.text.startswith("12 " * 20_000) and len(r.text) == len(text)
