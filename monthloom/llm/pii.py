@@ -4,6 +4,11 @@ Numbers and dates that pass validation are permuted within their own format by a
 two digit groups, so equal values have equal pseudonyms in all documents and different values different ones:
 card numbers stay Luhn-valid, addresses stay addresses, dates stay dates of their century, separators stay.
 Mail addresses become keyed digests in the shape of an address. What fails validation is left alone.
+
+Accepted forms. Phones of 7 to 15 digits: ``+`` and 7 to 15 digits, or ``+``, a country code and groups divided by
+space, dot or hyphen; ``(ddd) ddd-dddd`` with or without a country code; ``ddd ddd dddd`` with spaces, dots or
+hyphens. Dates of 1900 to 2099: ``yyyy-mm-dd``; day, month, year or month, day, year (day first if both can be) with
+``/``, ``.`` or ``-``, with or without leading zeros. Two-digit years and names of months are not recognised.
 """
 
 from __future__ import annotations
@@ -22,17 +27,20 @@ PATTERNS = {
     "email": [_MAIL],
     "phone": [r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
               r"(?<![\p{L}\p{N}+])\+1[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-              *[rf"{_INTERNATIONAL}(?:[ .-][0-9]{{2,4}}){{{n}}}(?![0-9])" for n in (5, 4, 3, 2)],
-              r"(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"],
+              *[rf"{_INTERNATIONAL}(?:[ .-][0-9])?(?:[ .-][0-9]{{2,12}}){{{n}}}(?![0-9])" for n in (5, 4, 3, 2, 1)],
+              r"(?<![\p{L}\p{N}+])\+[0-9]{7,15}(?![0-9])",
+              r"(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+              *[rf"(?<![\p{{L}}\p{{N}}.-])[0-9]{{3}}{s}[0-9]{{3}}{s}[0-9]{{4}}(?![0-9-]|\.[0-9])" for s in (r"\.", " ")]],
     "ip": [rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])"],
-    "date": [r"(?<![\p{L}\p{N}-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}-])"],
+    "date": [r"(?<![\p{L}\p{N}-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}-])",
+             *[rf"(?<![\p{{L}}\p{{N}}-]|[0-9][/.])[0-9]{{1,2}}{s}[0-9]{{1,2}}{s}(?:19|20)[0-9]{{2}}(?![\p{{L}}\p{{N}}-]|[/.][0-9])" for s in ("/", r"\.", "-")]],
     "ssn": [r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"],
     "card": [r"(?<![\p{L}\p{N}]|(?<![0-9])-)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])"],
 }
 _NUMBERS = [p for kind, patterns in PATTERNS.items() if kind != "email" for p in patterns]
 #: A mail address, or a run of digit groups with the characters next to it: no number reaches beyond its run.
 #: Possessive, as long runs would else overflow the stack of the matcher.
-ANY = (rf"{_MAIL}|[\p{{L}}\p{{N}}._-]?+[+(]*+(?!{_MAIL})[0-9]++"
+ANY = (rf"{_MAIL}|[\p{{L}}._-[\p{{N}}&&[^0-9]]]?+[+(]*+(?!{_MAIL})[0-9]++"
        rf"(?:(?:[ ./()+-]{{1,3}}+|[\p{{L}}\p{{N}}])(?!{_MAIL})[0-9]++)*+[\p{{L}}\p{{N}}-]?+")
 #: A number may begin at a digit group or at a sign before one, and reaches over so many of these at most.
 _BEGIN, _REACH = r"(?=[+(])|(?<![0-9])(?=[0-9])", 10
@@ -112,12 +120,33 @@ def _ip(match: Column, key: str) -> Column:
     return F.concat_ws(".", *[(F.floor(out[h] / 256) if top else out[h] % 256).cast("string") for h in "xy" for top in (1, 0)])
 
 
-def _date(match: Column, key: str) -> Column:
+def _dated(match: Column, year: int, month: int, day: int) -> Column:
+    """The date whose parts stand at these places of ``match``, null if there is none."""
+    part = F.split(match, "[/.-]")
+    return F.try_to_date(F.concat_ws("-", F.get(part, year), F.lpad(F.get(part, month), 2, "0"), F.lpad(F.get(part, day), 2, "0")), "yyyy-MM-dd")
+
+
+def _moved(date: Column, key: str) -> Column:
+    """Another day of the same century."""
     def within(first: str, a: int, b: int) -> Column:
-        days = F.datediff(F.to_date(match), F.lit(first).cast("date"))
+        days = F.datediff(date, F.lit(first).cast("date"))
         out = feistel(F.floor(days / b), days % b, F.lit(a), F.lit(b), key, "date" + first)
-        return F.date_format(F.date_add(F.lit(first).cast("date"), (out["x"] * b + out["y"]).cast("int")), "yyyy-MM-dd")
-    return F.when(F.substring(match, 1, 2) == "19", within(*_CENTURY[19])).otherwise(within(*_CENTURY[20]))
+        return F.date_add(F.lit(first).cast("date"), (out["x"] * b + out["y"]).cast("int"))
+    return F.when(F.year(date) < 2000, within(*_CENTURY[19])).otherwise(within(*_CENTURY[20]))
+
+
+def _date(match: Column, key: str) -> Column:
+    """Year first, else day first, else month first; what is month first stays so, with a day above 12."""
+    sep, iso, day_first = F.regexp_extract(match, "[/.-]", 0), F.rlike(match, F.lit("^[0-9]{4}")), _dated(match, 2, 1, 0)
+    padded = F.rlike(match, F.lit("^[0-9]{2}.[0-9]{2}."))
+
+    def written(date: Column, *order: str) -> Column:
+        return F.when(padded, F.concat_ws("/", *[F.date_format(date, p) for p in order])).otherwise(
+            F.concat_ws("/", *[F.date_format(date, p[:1] if p != "yyyy" else p) for p in order]))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), _moved(_dated(match, 2, 0, 1), key),
+                         lambda d, _: F.when(F.day(d) > 12, d).otherwise(_moved(d, key)))
+    slashed = F.when(day_first.isNotNull(), written(_moved(day_first, key), "dd", "MM", "yyyy")).otherwise(written(walked, "MM", "dd", "yyyy"))
+    return F.when(iso, F.date_format(_moved(F.to_date(match), key), "yyyy-MM-dd")).otherwise(F.replace(slashed, F.lit("/"), sep))
 
 
 def _email(match: Column, key: str) -> Column:
@@ -132,9 +161,11 @@ def kind_of(match: Column) -> Column:
     return (F.when(F.contains(match, F.lit("@")), "email")
             .when(F.rlike(match, F.lit(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$")), "ip")
             .when(F.rlike(match, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.when(F.try_to_date(match, "yyyy-MM-dd").isNotNull(), "date"))
+            .when(F.rlike(match, F.lit(r"^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}$")),
+                  F.when(F.coalesce(_dated(match, 2, 1, 0), _dated(match, 2, 0, 1)).isNotNull(), "date"))
             .when(F.rlike(match, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
                   F.when(~F.rlike(match, F.lit("^(?:000|666|9)|-00-|-0000$")), "ssn"))
-            .when(F.rlike(match, F.lit(r"^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$")), F.when(digits.between(7, 15), "phone"))
+            .when(F.rlike(match, F.lit(r"^[+(]|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")), F.when(digits.between(7, 15), "phone"))
             .when(digits.between(13, 19) & luhn_valid(digits_of(match)), "card"))
 
 

@@ -93,3 +93,14 @@ def test_long_runs_of_numbers(spark):
     text = "12 " * 20_000 + "4111 1111 1111 1111"
     r = one(spark, text)
     assert r.n_card == 1 and r.text.startswith("12 " * 20_000) and len(r.text) == len(text)
+
+
+def test_common_forms(spark):
+    phones = ["+15551234567", "+442079460958", "555.123.4567", "555 123 4567", "+44 2079460958", "+33 1 23 45 67 89"]
+    dates = ["03/12/1985", "12.03.1985", "3-12-1985", "12/31/1985"]
+    df = spark.createDataFrame(list(enumerate([f"on {v}, x" for v in phones + dates + ["31/31/1985"]])), "doc_id long, text string")
+    rows = sorted(pseudonymise(df, "k").collect())
+    for r, v in zip(rows, phones + dates):
+        assert (r.n_phone, r.n_date) == ((1, 0) if v in phones else (0, 1)) and v not in r.text, v
+    month, day, _ = map(int, rows[len(phones) + 3].text[3:-3].split("/"))
+    assert month <= 12 < day and rows[-1].n_date == 0 and "31/31/1985" in rows[-1].text
