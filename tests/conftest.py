@@ -43,8 +43,3 @@ def golden(spark):
 @pytest.fixture(scope="session")
 def rules():
     return CleaningRules(2019)
-
-
-def rows(df):
-    """Rows as sorted tuples, for order-free comparison."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

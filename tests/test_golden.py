@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from monthloom.functions.periods import PeriodSpec, parse_label
 from monthloom.functions.scalars import longer_of
 from monthloom.operators import checks

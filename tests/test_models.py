@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from monthloom.operators.encode import assemble
 from monthloom.operators.metrics import baseline_metrics, classification_metrics, regression_metrics
 from monthloom.operators.models import FINAL_MODEL, evaluate_models, make_models, vector_size

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from monthloom.functions.periods import PeriodSpec
 from monthloom.operators.clean import CleaningRules, clean_panel, cleaning_exceptions
 from monthloom.operators.features import feature_table, wide_features, DEFAULT_FEATURES

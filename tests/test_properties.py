@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from monthloom.functions.binning import bin_equal_width, bin_right_closed
 from monthloom.functions.periods import PeriodSpec
 from monthloom.model import AGE_GROUP_EDGES

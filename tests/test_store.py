@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from monthloom.model import PANEL_COLUMNS
 from monthloom.operators.targets import task_matrix
 from monthloom.sources.driver_tables import orders_panel
