@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.llm.common import NULL_ID, id_key, ship, slices, utf8_view
+from monthloom.llm.common import NULL_ID, frugal, id_key, ship, slices, utf8_view
 from monthloom.llm.components import component_roots
 from monthloom.llm.shingles import mix, shingle_sets
 from monthloom.sources.store import cut_lineage
@@ -33,9 +33,11 @@ MISSED = 1e-9
 #: How far below the threshold a sketch's estimate may lie for the pair still to be confirmed exactly.
 MARGIN = 0.25
 CENTRE_SHARE = 256
+#: Bytes of text hashed at once.
+SLICE = 1 << 20
 FILTER_BITS = 1 << 26
 #: Larger buckets are compared in blocks of at most so many rows and shingles.
-SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 64, 4096, 1_500_000
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 64, 4096, 500_000
 
 
 def band_rows(percent: int) -> int:
@@ -72,7 +74,7 @@ def _signatures(shingle: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sizes, digests, keys, odds = [], [], [], []
                 for s in shingle_sets(*utf8_view(part.column("text")), shingle):
                     sizes.append(len(s))
@@ -96,7 +98,7 @@ def _signatures(shingle: int, rows: int):
 def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``did, n, d1, d2, bands, odd`` per row: set size, set digest, band keys and odd sketch."""
     return docs.select(id_key().alias("did"), "text").mapInArrow(
-        _signatures(shingle, band_rows(percent)), "did long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
+        frugal(_signatures(shingle, band_rows(percent))), "did long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
 
 
 def _in_play(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centres = None, []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, centre, salt, role = (part.column(c).to_numpy().tolist() for c in ("did", "c", "salt", "role"))
                 us, vs = [], []
                 for i, s in enumerate(shingle_sets(*utf8_view(part.column("text")), shingle)):
@@ -151,7 +153,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                             F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("role"))
     # one plan at every size: a broadcast of pairs would only do for few
     return (members.unionByName(centres).join(texts.hint("merge"), "did").repartition("c", "salt")
-            .sortWithinPartitions("c", "salt", "role").mapInArrow(_confirm(shingle, percent), "u long, v long")
+            .sortWithinPartitions("c", "salt", "role").mapInArrow(frugal(_confirm(shingle, percent)), "u long, v long")
             .distinct())
 
 
@@ -248,7 +250,7 @@ def _left_over(texts: DataFrame, members: DataFrame, reps: DataFrame, roots: Dat
     open_rows = rooted.join(open_keys, "bk")
     small = (open_rows.where(F.col("size") <= SMALL).where("rep != c").select("bk", "rep", "root")
              .join(reps.select("rep", "odd"), "rep").repartition("bk").sortWithinPartitions("bk"))
-    pairs = cut_lineage(small.mapInArrow(_propose(limit), "u long, v long").distinct(), "near-proposed")
+    pairs = cut_lineage(small.mapInArrow(frugal(_propose(limit)), "u long, v long").distinct(), "near-proposed")
     links = confirmed(texts, pairs, shingle, percent)
 
     large = cut_lineage(open_rows.where(F.col("size") > SMALL).select("rep", "c", "root"), "near-large")
@@ -267,7 +269,7 @@ def _left_over(texts: DataFrame, members: DataFrame, reps: DataFrame, roots: Dat
             .select("g", "rep", "root", "odd", "text", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
                     F.expr("CASE WHEN block = other THEN 2 WHEN block < other THEN 0 ELSE 1 END").alias("side")))
     found = (rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
-             .mapInArrow(_compare(shingle, percent, limit), "u long, v long"))
+             .mapInArrow(frugal(_compare(shingle, percent, limit)), "u long, v long"))
     return links.unionByName(found)
 
 

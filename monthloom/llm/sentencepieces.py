@@ -21,10 +21,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.llm.common import WordPool, ship, slices
+from monthloom.llm.common import WordPool, frugal, ship, slices
 
 MARK = "▁"
 NEVER = 1 << 62
+#: Remembered answers about neighbouring tokens, about 100 bytes each; bytes of text encoded at once.
+MOST_PAIRS, SLICE = 250_000, 1 << 20
 
 
 def default_model() -> str:
@@ -85,7 +87,7 @@ class PieceModel:
         key = one * len(self.pieces) + two
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > MOST_PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(one, two)
         return known
@@ -181,7 +183,7 @@ def _loaded(proto: bytes) -> tuple[PieceModel, WordPool]:
 
 def _with(column: str, name: str, make, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, column) if pa.types.is_string(batch.schema.field(column).type) else (
+        for part in slices(batch, column, SLICE) if pa.types.is_string(batch.schema.field(column).type) else (
                 batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
             keep = [c for c in part.schema.names if c != column]
             yield pa.RecordBatch.from_arrays([*map(part.column, keep), make(part.column(column))], [*keep, name])
@@ -205,7 +207,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", ids: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pool = _loaded(proto)
         return _with(text, ids, lambda column: own.encode(pool, column), batches)
-    return rest.mapInArrow(run, f"{_fields(rest, text)}`{ids}` array<int>")
+    return rest.mapInArrow(frugal(run), f"{_fields(rest, text)}`{ids}` array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -220,4 +222,4 @@ def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _ = _loaded(proto)
         return _with(ids, text, own.decode, batches)
-    return rest.mapInArrow(run, f"{_fields(rest, ids)}`{text}` string")
+    return rest.mapInArrow(frugal(run), f"{_fields(rest, ids)}`{text}` string")

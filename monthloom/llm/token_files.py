@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from monthloom.llm.common import WordPool, id_key, ship, slices
+from monthloom.llm.common import WordPool, frugal, id_key, ship, slices
 
 BLOCK_IDS = 1 << 16
+#: Remembered pieces, and bytes of text encoded at once.
+MOST_PIECES, SLICE = 100_000, 1 << 21
 BLOCKS = ("shard int, block int, first_id long, width int, n_ids int, doc_ids array<long>, sizes array<int>, "
           "payload binary")
 #: How byte-level tokenizers of this family cut texts before merging (a fixed value).
@@ -84,7 +86,7 @@ class ByteBpe:
         """Ids of a piece that the merges see as a whole."""
         known = self.pieces.get(piece)
         if known is None:
-            if len(self.pieces) > 300_000:
+            if len(self.pieces) > MOST_PIECES:
                 self.pieces.clear()
             shown = piece.encode().decode("latin-1").translate(self.letters)
             known = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
@@ -134,7 +136,7 @@ def _blocks(source: str, end_id: int):
         own, pool = _loaded(source)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for part in slices(batch, "text", 1 << 23):
+            for part in slices(batch, "text", SLICE):
                 ids, bounds = own.encode(pool, part.column("text"))
                 counts = np.diff(bounds)
                 closed = np.insert(ids, bounds[1:], end_id).astype(np.uint32)
@@ -159,7 +161,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         source = f.read()
     (docs.select(id_key().alias("did"), "doc_id", "text").repartitionByRange("did")
      .sortWithinPartitions("did", F.col("text").asc_nulls_first()).select("doc_id", "text")
-     .mapInArrow(_blocks(source, end_id), BLOCKS).write.option("compression", "zstd").parquet(path))
+     .mapInArrow(frugal(_blocks(source, end_id)), BLOCKS).write.option("compression", "zstd").parquet(path))
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -189,7 +191,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document; ids are little-endian unsigned 32-bit integers."""
     ship(spark)
     found = blocks(spark, path).select("doc_ids", "sizes", "width", "n_ids", "payload", "start")
-    return found.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
+    return found.mapInArrow(frugal(_documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_ids(spark: SparkSession, path: str, start: int, count: int) -> np.ndarray:
