@@ -44,11 +44,13 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     the last state, from which every symbol begins a phrase.
     """
     n = 2 * max(1, len(text))
-    go = np.full((n, symbols), -1, np.int32)
+    go = np.empty((n, symbols), np.int32)  # rows are filled as states arise; the rest takes no memory
+    go[0] = -1
     link, length = [-1] * n, [0] * n
     size, last = 1, 0
     for c in text.tolist():
         new, size = size, size + 1
+        go[new] = -1
         length[new] = length[last] + 1
         p = last
         while p != -1 and go[p, c] == -1:
@@ -70,9 +72,12 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    go = go[:size]
-    root = np.where(go[0] == -1, size, go[0])
-    return np.concatenate([np.where(go == -1, -1 - root, go), [-1 - root]]).astype(np.int32)
+    root = np.where(go[0] == -1, size, go[0]).astype(np.int32)
+    table = np.empty((size + 1, symbols), np.int32)
+    table[:size], table[size] = go[:size], -1 - root
+    for rows in np.array_split(table[:size], max(1, size >> 12)):  # in place, without copies of the whole
+        np.copyto(rows, -1 - root, where=rows == -1)
+    return table
 
 
 class Model:
@@ -86,12 +91,16 @@ class Model:
         width, tables, last, at = len(seen) + 1, [], [], 0
         for name in self.languages:
             table = suffix_automaton(self.classes[np.frombuffer(samples[name], np.uint8)], width)
-            tables.append(np.where(table < 0, table - at, table + at))
+            # entries become places in the flattened table of all; a negative one begins a phrase
+            for rows in np.array_split(table, max(1, len(table) >> 12)):
+                fresh = rows < 0
+                rows += np.where(fresh, -at, at).astype(np.int32)
+                rows *= np.int32(width)
+                rows += np.where(fresh, width - 1, 0).astype(np.int32)
             at += len(table)
             last.append(at - 1)
-        # entries are places in the flattened table; a negative one begins a phrase
-        flat = np.concatenate(tables) if tables else np.zeros((1, 1), np.int32)
-        self.table = np.where(flat < 0, (flat + 1) * width - 1, flat * width).astype(np.int32).ravel()
+            tables.append(table.ravel())
+        self.table = np.concatenate(tables) if tables else np.zeros(1, np.int32)
         self.begin = np.array(last, np.int32) * width
         self.logs = np.log(np.array([max(2, len(samples[name])) for name in self.languages]))
 
