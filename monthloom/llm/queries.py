@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import ann, fingerprints, language, line_dedup, mixing, near_dedup, pii, secret_scan, sentencepieces, token_files
+from monthloom.llm import (ann, fingerprints, language, line_dedup, mixing, near_dedup, pii, quality, secret_scan, sentencepieces,
+                           spelling, token_files, whitening)
 from monthloom.llm.common import documents, text_or_empty
 from monthloom.llm.oracle import LINE_DEDUP, MIXING, NEAR_DEDUP, NEAREST
 from monthloom.sources.store import scratch_path
@@ -75,8 +76,20 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), least_words=10, most_repeated=20, reach=3.0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), least_letters=5, least_count=3, every=97, times=2)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), wanted=8)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup, op2_near_dedup, op3_pii, op4_nearest, op5_mixing, op6_secrets, op7_fingerprints, op8_language, op9_token_files,
-    op10_sentencepieces)}
+    op10_sentencepieces, op11_quality, op12_spelling, op13_whitening)}
 ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op2_near_dedup": NEAR_DEDUP, "op4_nearest": NEAREST,
                           "op5_mixing": MIXING}

@@ -22,10 +22,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _FOLD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (one more than texts).
 
-    A word is a run of bytes other than white space; A-Z count as a-z. Works through about 512 KB at a time,
+    A word is a run of bytes other than white space; ``fold`` maps bytes, by default A-Z to a-z. Works through about 512 KB at a time,
     cut between words.
     """
     first_of_text = np.zeros(len(data) + 1, bool)
@@ -52,7 +52,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             word = np.cumsum(begins)[spots] - 1
             place = spots - begin[word]
             power = np.cumprod(np.full(int(place.max()) + 1, _STEP))
-            terms = _BYTE[_FOLD[piece[spots]]] * power[place]
+            terms = _BYTE[fold[piece[spots]]] * power[place]
             hashes.append(mix(np.add.reduceat(terms, np.flatnonzero(place == 0))))
             starts.append(begin + at)
         at = end
