@@ -18,10 +18,11 @@ def brute(vectors):
 def matrices():
     rng = np.random.default_rng(1)
     for size in (1, 2, 3, 8, 30, 64):
-        for kind in range(4):
+        for kind in range(6):
             q, _ = np.linalg.qr(rng.standard_normal((size, size)))
             values = {0: rng.random(size) * 100, 1: np.r_[np.full(size // 2, 5.0), np.linspace(1, 4, size - size // 2)],
-                      2: np.r_[1e6, np.full(size - 1, 1e-3)], 3: np.r_[np.linspace(1, 2, (size + 1) // 2), np.zeros(size // 2)]}[kind]
+                      2: np.r_[1e6, np.full(size - 1, 1e-3)], 3: np.r_[np.linspace(1, 2, (size + 1) // 2), np.zeros(size // 2)],
+                      4: np.r_[2e5, np.linspace(16_000, 16_600, size - 1)], 5: np.r_[1e8, 1 + 1e-3 * rng.random(size - 1)]}[kind]
             yield (q * values) @ q.T, np.sort(values)[::-1]
 
 
