@@ -1,19 +1,22 @@
-"""PCA and random-forest pipelines on ``features`` vectors."""
+"""PCA and random-forest models on ``features`` vectors, a whole grid from few fits."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.operators.metrics import evaluate, stack_metrics, tagged
+from monthloom.operators.pca import fit_components, project
+from monthloom.sources.store import cut_lineage, scratch_path
 
 # The model grid and the model chosen for the final evaluation.
 PCA_SIZES = (2, 10, 20)
@@ -21,63 +24,109 @@ FOREST_SIZES = (50, 100, 500)
 FINAL_MODEL = "PCA_20-RF_100"
 
 
+@dataclass(frozen=True)
+class ForestModel:
+    """``trees`` trees on the first ``k`` components, or on the features as they are if ``k`` is None.
+
+    Forests grow to ``max_depth``; 30 is the deepest Spark allows. ``memory_mb`` bounds the statistics one task
+    gathers per pass: more of it means fewer passes over the training rows.
+    """
+
+    is_clf: bool
+    k: int | None
+    trees: int
+    max_depth: int = 30
+    seed: int = 42
+    memory_mb: int = 512
+
+    def forest(self, trees: int):
+        """Deep forests keep each row's node ids on the executors instead of shipping the grown trees with every
+        job; Spark checkpoints these ids into ``spark.checkpoint.dir``."""
+        kwargs = dict(featuresCol="inputs", labelCol="label", predictionCol="pred", numTrees=trees,
+                      maxDepth=self.max_depth, seed=self.seed, maxMemoryInMB=self.memory_mb, cacheNodeIds=True)
+        if self.is_clf:
+            return RandomForestClassifier(featureSubsetStrategy="sqrt", **kwargs)
+        return RandomForestRegressor(featureSubsetStrategy="all", **kwargs)
+
+
 def vector_size(dataset: DataFrame, column: str = "features") -> int:
     return dataset.schema[column].metadata["ml_attr"]["num_attrs"]
 
 
-def make_models(is_clf: bool, n_features: int, pca: Sequence[int] = PCA_SIZES, trees: Sequence[int] = FOREST_SIZES,
-                max_depth: int = 30, seed: int = 42, memory_mb: int = 512) -> dict[str, Pipeline]:
-    """``PCA_k-RF_n`` pipelines. ``k`` is at most the vector size, which the name then tells.
+def make_models(is_clf: bool, n_features: int, pca: Sequence[int | None] = PCA_SIZES, trees: Sequence[int] = FOREST_SIZES,
+                max_depth: int = 30, seed: int = 42, memory_mb: int = 512) -> dict[str, ForestModel]:
+    """``PCA_k-RF_n`` models, and ``RF_n`` ones without components for a ``k`` of None.
 
-    Forests grow to ``max_depth``; 30 is the deepest Spark allows. ``memory_mb`` bounds the
-    statistics one task gathers per pass: more of it means fewer passes over the training rows.
-    Deep forests keep each row's node ids on the executors instead of shipping the grown trees with
-    every job; Spark checkpoints these ids into ``spark.checkpoint.dir``.
+    Names tell the ``k`` asked for; with fewer features a model works on as many components as there are.
     """
-    def forest(n):
-        kwargs = dict(featuresCol="components", labelCol="label", predictionCol="pred", numTrees=n,
-                      maxDepth=max_depth, seed=seed, maxMemoryInMB=memory_mb, cacheNodeIds=True)
-        if is_clf:
-            return RandomForestClassifier(featureSubsetStrategy="sqrt", **kwargs)
-        return RandomForestRegressor(featureSubsetStrategy="all", **kwargs)
-
     return {
-        f"PCA_{min(k, n_features)}-RF_{n}": Pipeline(stages=[
-            StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred"),
-            PCA(k=min(k, n_features), inputCol="centred", outputCol="components"),
-            forest(n)])
+        f"RF_{n}" if k is None else f"PCA_{k}-RF_{n}": ForestModel(
+            is_clf, None if k is None else min(k, n_features), n, max_depth, seed, memory_mb)
         for k in pca for n in trees
     }
 
 
-def fit_predict(dataset: DataFrame, model: Pipeline, on: str = "val") -> DataFrame:
-    """Fit on the training rows, predict the rows of split ``on``."""
-    fitted = model.fit(dataset.where(F.col("split") == "train"))
-    return (fitted.transform(dataset.where(F.col("split") == on))
-            .select("id", "split", "label", "baseline", "pred"))
+def first_trees(stored: str, n: int, is_clf: bool, spark):
+    """The forest of the first ``n`` trees of a stored forest. Trees grow independently of each other, so this is a
+    forest of ``n`` trees like any other."""
+    path = scratch_path(spark, f"forest-{n}")
+    told = json.loads(spark.read.text(f"{stored}/metadata").first()[0])
+    told["numTrees"] = told["paramMap"]["numTrees"] = n
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    spark.read.parquet(f"{stored}/data").where(F.col("treeID") < n).write.parquet(f"{path}/data")
+    spark.read.parquet(f"{stored}/treesMetadata").where(F.col("_1") < n).write.parquet(f"{path}/treesMetadata")
+    return (RandomForestClassificationModel if is_clf else RandomForestRegressionModel).load(path)
+
+
+def _inputs(data: DataFrame, k: int | None) -> DataFrame:
+    """Column ``inputs``: the first k components, or all features."""
+    return data.withColumn("inputs", array_to_vector(F.col("raw") if k is None else F.slice("components", 1, k)))
 
 
-def evaluate_models(dataset: DataFrame, models: dict[str, Pipeline], is_clf: bool, on: str = "val",
+def evaluate_models(dataset: DataFrame, models: dict[str, ForestModel], is_clf: bool, on: str = "val",
                     family: str | None = None, keep_predictions=None,
                     parallelism: int = 8) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Predictions per model, and one metric table.
+    """Predictions per model of the rows of split ``on``, and one metric table.
 
-    The dataset is cached while the models fit, ``parallelism`` of them at a time, so that the short
-    jobs of one forest's deep levels leave no executors idle. ``keep_predictions(df, name)`` may
-    store a prediction table and return the stored one; metrics then read that table.
+    Components are found once, on the training rows, for the largest ``k``; smaller ones are their first
+    components. For each ``k`` one forest of the largest size grows, and smaller forests are its first trees. Component
+    values are stored before the forests grow, ``parallelism`` of them at a time, so that the short jobs of
+    one forest's deep levels leave no executors idle. ``keep_predictions(df, name)`` may store a prediction
+    table and return the stored one; metrics then read that table.
     """
-    family = family or ("clf" if is_clf else "regr")
-    cached = dataset.persist(StorageLevel.MEMORY_AND_DISK)
-
-    @inheritable_thread_target(dataset.sparkSession)
-    def scored(name):
-        predictions = fit_predict(cached, models[name], on)
-        return keep_predictions(predictions, name) if keep_predictions else predictions
-
-    try:
-        with ThreadPool(min(parallelism, len(models))) as pool:
-            predictions = dict(zip(models, pool.map(scored, list(models), chunksize=1)))
-    finally:
-        cached.unpersist()
+    spark, family = dataset.sparkSession, family or ("clf" if is_clf else "regr")
+    data = dataset.where(F.col("split").isin("train", on))
+    sizes = [m.k for m in models.values() if m.k is not None]
+    plain = any(m.k is None for m in models.values())
+    if sizes:
+        fitted = fit_components(dataset.where(F.col("split") == "train"), max(sizes))
+        data = project(data.withColumn("raw", vector_to_array("features")) if plain else data, fitted)
+    else:
+        data = data.withColumn("raw", vector_to_array("features")).drop("features")
+    data = cut_lineage(data, "model-inputs")
+    groups: dict[tuple, list[str]] = {}
+    for name, m in models.items():
+        groups.setdefault((m.k, m.max_depth, m.seed, m.memory_mb), []).append(name)
+
+    @inheritable_thread_target(spark)
+    def grown(names: list[str]) -> list[tuple[str, DataFrame]]:
+        spec, most = models[names[0]], max(models[n].trees for n in names)
+        train = _inputs(data.where(F.col("split") == "train"), spec.k).select("inputs", "label")
+        forest = spec.forest(most).fit(train)
+        rows, stored, found = _inputs(data.where(F.col("split") == on), spec.k), None, []
+        for name in names:
+            own = forest
+            if models[name].trees < most:
+                if stored is None:
+                    stored = scratch_path(spark, "forest")
+                    forest.save(stored)
+                own = first_trees(stored, models[name].trees, is_clf, spark)
+            scored = own.transform(rows).select("id", "split", "label", "baseline", "pred")
+            found.append((name, keep_predictions(scored, name) if keep_predictions else scored))
+        return found
+
+    with ThreadPool(min(parallelism, len(groups))) as pool:
+        scored = dict(pair for pairs in pool.map(grown, list(groups.values()), chunksize=1) for pair in pairs)
+    predictions = {name: scored[name] for name in models}
     rows = [tagged(evaluate(p, is_clf, ["split"]), name, "predicted", family) for name, p in predictions.items()]
     return predictions, stack_metrics(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from monthloom.functions.periods import PeriodSpec
@@ -9,11 +10,13 @@ from monthloom.operators.encode import assemble, category_columns, learn_categor
 from monthloom.operators.features import FeatureSpec, wide_features
 from monthloom.operators.metrics import (baseline_metrics, classification_metrics, confusion_matrix, misclassified,
                                          regression_metrics, stack_metrics, tagged)
-from monthloom.operators.models import FINAL_MODEL, evaluate_models, make_models, vector_size
+from monthloom.operators.models import (FINAL_MODEL, FOREST_SIZES, PCA_SIZES, evaluate_models, make_models, vector_size)
+from monthloom.operators.pca import fit_components, project
 from monthloom.operators.split import split_panel, split_sizes
-from monthloom.plans.feature_queries import TASKS, dataset_of
+from monthloom.plans.feature_queries import TASKS, dataset_of, features_of
 from monthloom.plans.registry import query, rounded
-from monthloom.plans.sql_blocks import PANEL, clf_metrics_sql, dataset_ctes, reg_metrics_sql, split_ctes
+from monthloom.plans.sql_blocks import (PANEL, clf_metrics_sql, dataset_ctes, ordinals, reg_metrics_sql, split_ctes, suffix,
+                                        target_of)
 from monthloom.sources.driver_tables import PANEL_REF_YEAR, label_predictions, orders_panel, table
 from monthloom.sources.store import ResultStore, cut_lineage, scratch_path
 
@@ -205,6 +208,79 @@ def rf_grid_regr(spark, sf):
     return _grid(spark, sf, "regr_6")
 
 
+def _predicted(spark, sf, names, on: str, models_of):
+    """Stored predictions of some models of some tasks; the wide features of each period are stored once."""
+    store, features = ResultStore(spark, scratch_path(spark, "results")), {}
+    for name in names:
+        task = TASKS[name]
+        n = task.n_months
+        if n not in features:
+            features[n] = cut_lineage(features_of(spark, sf, n), f"features-{n}")
+        stored = cut_lineage(dataset_of(spark, sf, task, features[n]), f"dataset-{name}")
+        split = split_panel(stored, stratify="label" if task.is_clf else None)
+        data = cut_lineage(assemble(split, learn_categories(split, category_columns(split))), f"vectors-{name}")
+        evaluate_models(data, models_of(task, vector_size(data)), task.is_clf, on=on, family=task.kind,
+                        keep_predictions=lambda p, model, name=name: store.save_predictions(p, name, model))
+    return (store.predictions().groupBy("task", F.col("model").alias("name"), "split")
+            .agg(F.count("pred").alias("n"), F.round(F.sum("label"), 3).alias("labels"), F.round(F.sum("baseline"), 3).alias("baselines")))
+
+
+def _predicted_sql(tasks, on: str, models) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT * FROM ({dataset_ctes(TASKS[t].n_months, TASKS[t].kind)}{split_ctes(TASKS[t].is_clf)} SELECT '{t}' AS task, split, "
+        "count(*) AS n, round(sum(label), 3) AS labels, round(sum(baseline), 3) AS baselines "
+        f"FROM splits WHERE split = '{on}' GROUP BY split)" for t in tasks)
+    names = ", ".join(f"('{name}')" for name in models)
+    return f"SELECT r.task, m.name, r.split, r.n, r.labels, r.baselines FROM ({rows}) r, (VALUES {names}) m(name)"
+
+
+def _grid_of(task: str):
+    """Every model of the grid on a task, by the validation rows it predicted."""
+    sql = _predicted_sql([task], "val", [f"PCA_{k}-RF_{n}" for k in PCA_SIZES for n in FOREST_SIZES])
+
+    @query(f"rf_grid_{task}", sql)
+    def run(spark, sf):
+        return _predicted(spark, sf, [task], "val", lambda t, size: make_models(t.is_clf, size))
+    return run
+
+
+for _task in TASKS:  # with the two above, whose metrics they give, all nine
+    if _task not in ("clf_6", "regr_6"):
+        _grid_of(_task)
+
+
+@query("final_model_all", _predicted_sql(TASKS, "test", [FINAL_MODEL]))
+def final_model_all(spark, sf):
+    """The chosen model on every task, by the test rows it predicted."""
+    return _predicted(spark, sf, TASKS, "test", lambda t, size: {FINAL_MODEL: make_models(t.is_clf, size)[FINAL_MODEL]})
+
+
+@query("plain_forest")
+def plain_forest(spark, sf):
+    """Forests on the features as they are, next to one on components."""
+    data = vectors(spark, sf, "clf_6")
+    return evaluate_models(data, make_models(True, vector_size(data), pca=(None, 10), trees=(50, 100)), True)[1]
+
+
+_SPECTRUM = [f"{f}_{suffix(6, o)}" for f in ("rat_mean", "gms_sum") for o in ordinals(6) if o < target_of(6)]
+_SQUARES = " + ".join(f"{1 if a == b else 2} * power(covar_samp({a}, {b}), 2)"
+                      for i, a in enumerate(_SPECTRUM) for b in _SPECTRUM[i:])
+
+
+@query("pca_spectrum", dataset_ctes(6, "regr") + f"""SELECT {len(_SPECTRUM)} AS n_features,
+       round(ln({" + ".join(f"var_samp({c})" for c in _SPECTRUM)}), 6) AS ln_variance,
+       round(ln({_SQUARES}), 6) AS ln_squares, CAST(0 AS DOUBLE) AS error FROM dataset""")
+def pca_spectrum(spark, sf):
+    """Sum and sum of squares of all component variances, and how far the first components' values are from theirs."""
+    dataset = cut_lineage(dataset_of(spark, sf, TASKS["regr_6"]).select(*_SPECTRUM), "spectrum")
+    data = VectorAssembler(inputCols=_SPECTRUM, outputCol="features").transform(dataset).select("features")
+    fitted = fit_components(data, 3)
+    errors = [F.abs(F.var_samp(F.col("components")[i]) / float(fitted.variances[i]) - 1) for i in range(3)]
+    return rounded(project(data, fitted).agg(F.greatest(*errors).alias("error")).select(
+        F.lit(len(_SPECTRUM)).alias("n_features"), F.log(F.lit(float(fitted.variances.sum()))).alias("ln_variance"),
+        F.log(F.lit(float((fitted.variances ** 2).sum()))).alias("ln_squares"), "error"))
+
+
 @query("final_model")
 def final_model(spark, sf):
     """The chosen model of each half-year task on the test split, next to the baseline."""

@@ -34,10 +34,11 @@ def test_models_beat_the_baseline(spark, planted, kind):
     data, is_clf = planted[kind], kind == "clf"
     assert vector_size(data) == 3
     models = make_models(is_clf, 3, pca=(2, 20), trees=(10,), max_depth=5)
-    assert list(models) == ["PCA_2-RF_10", "PCA_3-RF_10"]  # named by the components there are
+    assert list(models) == ["PCA_2-RF_10", "PCA_20-RF_10"]  # named by the components asked for
+    assert models["PCA_20-RF_10"].k == 3
     predictions, table = evaluate_models(data, models, is_clf)
     assert set(predictions) == set(models)
-    best = {r["name"]: r for r in table.collect()}["PCA_3-RF_10"]
+    best = {r["name"]: r for r in table.collect()}["PCA_20-RF_10"]
     base = baseline_metrics(data, is_clf).where("split = 'val'").first()
     if is_clf:
         assert best["accuracy"] > 0.85 and best["auc"] > base["auc"]
@@ -73,3 +74,51 @@ def test_task_run_and_resume(spark, sf_dir):
     assert rows(final.select("name", "type")) == [("clf_6", "baseline"), ("clf_6", "predicted"), ("regr_6", "baseline"), ("regr_6", "predicted")]
     matrix = confusion_matrix(predictions["clf_6"])
     assert matrix.agg({"n": "sum"}).first()[0] == predictions["clf_6"].count()
+
+
+def test_one_forest_serves_smaller_ones(spark, planted):
+    """Smaller forests of a grid predict as the stored first trees of the largest do, tree by tree."""
+    from monthloom.operators.models import first_trees
+    from monthloom.sources.store import scratch_path
+
+    data = planted["regr"].where("split = 'train'").withColumnRenamed("features", "inputs")
+    forest = make_models(False, 3, pca=(None,), trees=(12,), max_depth=4)["RF_12"].forest(12).fit(data)
+    path = scratch_path(spark, "forest")
+    forest.save(path)
+    some = first_trees(path, 5, False, spark)
+    assert some.getNumTrees == 5 and [t.toDebugString.split("\n", 1)[1] for t in some.trees] == [
+        t.toDebugString.split("\n", 1)[1] for t in forest.trees[:5]]
+    vector = data.first()["inputs"]
+    assert abs(some.predict(vector) - sum(t.predict(vector) for t in forest.trees[:5]) / 5) < 1e-9
+
+
+def test_grid_with_and_without_components(spark, planted):
+    models = make_models(True, 3, pca=(2, 3, None), trees=(3, 8), max_depth=4)
+    predictions, table = evaluate_models(planted["clf"], models, True)
+    n = planted["clf"].where("split = 'val'").count()
+    assert list(predictions) == ["PCA_2-RF_3", "PCA_2-RF_8", "PCA_3-RF_3", "PCA_3-RF_8", "RF_3", "RF_8"]
+    assert all(p.count() == n for p in predictions.values()) and table.count() == 6
+
+
+def test_components_of_awkward_features(spark):
+    """Constant, repeated, tiny and huge features converge and match the covariance."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from monthloom.operators.pca import fit_components, project
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((200, 8)) * np.array([1e6, 1, 0.05, 0, 3, 3, 1e-4, 10])
+    x[:, 5] = x[:, 4]
+    x[:, 7] = x[:, 0] / 1e5 + 5
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").select(
+        "id", array_to_vector("v").alias("features"))
+    fitted = fit_components(df)
+    cov = np.cov(x.T)
+    assert np.allclose(fitted.axes.T @ fitted.axes, np.eye(8), atol=1e-10)
+    assert np.allclose(fitted.axes * fitted.variances @ fitted.axes.T, cov, atol=1e-9 * np.abs(cov).max())
+    got = np.array([r.components for r in project(df, fitted).orderBy("id").collect()])
+    assert np.allclose(got, (x - x.mean(axis=0)) @ fitted.axes, atol=1e-6)
+    few = fit_components(df.limit(2), 5)  # rank one
+    assert few.axes.shape == (8, 5) and (few.variances[1:] <= 1e-9 * few.variances[0]).all()
+    with pytest.raises(ValueError):
+        fit_components(df.limit(0))
