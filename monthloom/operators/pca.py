@@ -61,9 +61,9 @@ def fit_components(df: DataFrame, k: int | None = None, column: str = "features"
     Axes without variance are completed to an orthonormal set, so ``k`` may exceed the rank; their values are 0 up to
     rounding. Each axis has a positive entry of largest magnitude.
     """
-    first = df.agg(Summarizer.metrics("mean", "count").summary(F.col(column)).alias("s")).select("s.mean", "s.count").first()
-    if not first or not first["count"]:
+    if df.isEmpty():
         raise ValueError("no rows to find components of")
+    first = df.agg(Summarizer.metrics("mean", "count").summary(F.col(column)).alias("s")).select("s.mean", "s.count").first()
     n, mean = first["count"], first["mean"].toArray()
     arrays = df.select(vector_to_array(column).alias("v"))
     partial = arrays.mapInArrow(_gram(mean), "gram binary").repartition(ADDERS).mapInArrow(_added, "gram binary")

@@ -109,9 +109,14 @@ def test_salted_join_equals_plain_join(spark, sf_dir):
 
 
 def test_hot_category_is_not_gathered(spark, sf_dir):
-    text = plan(box_stats(orders_panel(spark, sf_dir), "rat", "sex", ("F", "M")))
-    assert "SortMergeJoin" not in text.split("BroadcastExchange")[0]
-    assert "percentile(" not in text
+    """No window ranks a category, and rows are combined by cell before they are shuffled."""
+    from monthloom.operators.quantiles import histograms
+    data = cut_lineage(orders_panel(spark, sf_dir).selectExpr("sex AS c", "CAST(rat AS DOUBLE) AS v"), "plan-values")
+    spans = spark.createDataFrame([("F", [(0.0, 3000.0)]), ("M", [(0.0, 3000.0)])], "c string, spans array<struct<low: double, high: double>>")
+    text = plan(histograms(data, spans, ("F", "M")))
+    first = text[text.rindex("Exchange hashpartitioning"):]
+    assert "SortMergeJoin" not in text and "HashAggregate" in first and "partial_count" in first
+    assert "Window" not in plan(box_stats(orders_panel(spark, sf_dir), "rat", "sex", ("F", "M")))
 
 
 def test_split_moves_no_dataset_rows(spark, sf_dir):
