@@ -112,13 +112,11 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 class WordPool:
     """Ids of words seen before, so that each is encoded once. When there are too many, words met only once go.
 
-    The bounds keep a pool within about 30 MB; a Python worker keeps its pool from task to task.
+    The usual bounds keep a pool within about 30 MB; a Python worker keeps its pool from task to task.
     """
 
-    MOST_WORDS, MOST_IDS = 250_000, 2_000_000
-
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most_words: int = 250_000, most_ids: int = 2_000_000):
+        self.encode, self.most_words, self.most_ids = encode, most_words, most_ids
         self.clear()
 
     def clear(self) -> None:
@@ -129,7 +127,7 @@ class WordPool:
         old, sizes, met, flat = self.known, np.array(self.sizes), self.met, np.array(self.flat)
         starts = np.cumsum(sizes) - sizes
         self.clear()
-        if (met > 1).sum() > self.MOST_WORDS // 2:
+        if (met > 1).sum() > self.most_words // 2:
             return
         at, kept = 0, []
         for lead, (words, slots) in old.items():
@@ -168,7 +166,7 @@ class WordPool:
         encoded word by word in that cut; another goes through ``whole(text)``. A word is encoded with ``lead``
         in front, a text's first one only if ``lead_first``.
         """
-        if len(self.sizes) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
+        if len(self.sizes) > self.most_words or len(self.flat) > self.most_ids:
             self.shrink()
         split = pc.split_pattern(texts.fill_null(""), " ")
         bounds = split.offsets.to_numpy().astype(np.int64)

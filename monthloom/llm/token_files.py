@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 from monthloom.llm.common import WordPool, frugal, id_key, ship, slices
 
 BLOCK_IDS = 1 << 16
-#: Remembered pieces, and bytes of text encoded at once.
-MOST_PIECES, SLICE = 100_000, 1 << 21
+#: Remembered words, their ids and pieces (about 80 MB in all), and bytes of text encoded at once.
+MOST_WORDS, MOST_IDS, MOST_PIECES, SLICE = 500_000, 4_000_000, 200_000, 1 << 22
 BLOCKS = ("shard int, block int, first_id long, width int, n_ids int, doc_ids array<long>, sizes array<int>, "
           "payload binary")
 #: How byte-level tokenizers of this family cut texts before merging (a fixed value).
@@ -127,7 +127,7 @@ def _loaded(source: str) -> tuple[ByteBpe, WordPool]:
     key = hash(source)
     if key not in _LOADED:
         own = ByteBpe(source)
-        _LOADED[key] = own, WordPool(own.word_ids)
+        _LOADED[key] = own, WordPool(own.word_ids, MOST_WORDS, MOST_IDS)
     return _LOADED[key]
 
 
