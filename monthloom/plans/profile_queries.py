@@ -240,9 +240,8 @@ _ROUND_MEASURES = 'round("rat:mean", 6) AS "rat:mean", "gms:sum", round("gms:mea
 _DIFFS = _YEARLY + _diff_cte("d1", 1999) + _diff_cte("d2", 2000)
 
 
-def _binned(spark, sf):
-    panel = orders_panel(spark, sf)
-    return panel_diff.with_age_bins(panel_diff.yearly_aggregates(panel), REF, panel=panel)
+def _year_cells(spark, sf, years, strings=()):
+    return panel_diff.yearly_cells(orders_panel(spark, sf), REF, years, strings)
 
 
 @query("yearly_multi_agg", _YEARLY + f"SELECT id, year, sex, birth_year, {_ROUND_MEASURES}, {', '.join(_STRINGS)} FROM yearly")
@@ -252,7 +251,7 @@ def yearly_multi_agg(spark, sf):
 
 @query("yoy_diff", _DIFFS + f"SELECT id, sex, age_bin, {_ROUND_MEASURES} FROM d2")
 def yoy_diff(spark, sf):
-    return rounded(panel_diff.period_over_period(_binned(spark, sf), 2000))
+    return rounded(panel_diff.changes(_year_cells(spark, sf, (1999, 2000)), 2000))
 
 
 def _longer_sql(x_year: int, y_year: int, diff: str) -> str:
@@ -264,8 +263,21 @@ FROM {diff} d JOIN binned x ON d.id = x.id AND x.year = {x_year} JOIN binned y O
 
 @query("longer_title_merge", _longer_sql(2000, 1999, "d2"))
 def longer_title_merge(spark, sf):
-    yearly = _binned(spark, sf)
-    return rounded(panel_diff.add_longer_strings(panel_diff.period_over_period(yearly, 2000), yearly, 2000, 1999))
+    return rounded(panel_diff.changes_with_strings(_year_cells(spark, sf, (1999, 2000), _STRINGS), 2000, 2000, 1999))
+
+
+@query("longer_title_merge_earlier", _longer_sql(1998, 1999, "d1"))
+def longer_title_merge_earlier(spark, sf):
+    return rounded(panel_diff.changes_with_strings(_year_cells(spark, sf, (1998, 1999), _STRINGS), 1999, 1998, 1999))
+
+
+_LONGER = ", ".join(f"CASE WHEN length(x.{c}) >= length(y.{c}) THEN x.{c} ELSE y.{c} END AS {c}" for c in _STRINGS)
+_LABELLED_TITLES = _DIFFS + f""", j AS (SELECT d1.*, {_LONGER}, d2."rat:mean" AS nxt
+  FROM d1 JOIN binned x ON d1.id = x.id AND x.year = 1998 JOIN binned y ON d1.id = y.id AND y.year = 1999 JOIN d2 ON d1.id = d2.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sex, age_bin, "rat:mean", "gms:sum", "gms:mean",
+    {", ".join(_STRINGS)}, nxt) AS rn FROM j)
+SELECT id, sex, age_bin, {_ROUND_MEASURES}, {", ".join(_STRINGS)}, CAST(CASE WHEN nxt > 5 THEN 1 ELSE 0 END AS INT) AS label
+FROM r WHERE rn = 1"""
 
 
 @query("next_diff_label", _DIFFS + """, j AS (SELECT d1.*, d2."rat:mean" AS nxt, row_number() OVER (PARTITION BY d1.id
@@ -274,12 +286,30 @@ def longer_title_merge(spark, sf):
 SELECT id, sex, age_bin, round("rat:mean", 6) AS "rat:mean", "gms:sum", round("gms:mean", 6) AS "gms:mean",
        CAST(CASE WHEN nxt > 5 THEN 1 ELSE 0 END AS INT) AS label FROM j WHERE rn = 1""")
 def next_diff_label(spark, sf):
-    yearly = _binned(spark, sf)
-    return rounded(panel_diff.next_change_label(
-        panel_diff.period_over_period(yearly, 1999), panel_diff.period_over_period(yearly, 2000)))
+    return rounded(panel_diff.next_change_label(_year_cells(spark, sf, (1998, 1999, 2000)), 1999))
+
+
+@query("next_diff_titles", _LABELLED_TITLES)
+def next_diff_titles(spark, sf):
+    """The labelled changes with the longer titles of the years they span."""
+    cells = _year_cells(spark, sf, (1998, 1999, 2000), _STRINGS)
+    return rounded(panel_diff.next_change_label(cells, 1999, strings=_STRINGS))
 
 
 @query("diff_histogram", _DIFFS + """SELECT sex, age_bin, CAST(floor("rat:mean" / 20.0) AS BIGINT) AS bin, count(*) AS n
 FROM d2 GROUP BY 1, 2, 3""")
 def diff_histogram(spark, sf):
-    return profile.grouped_histogram(panel_diff.period_over_period(_binned(spark, sf), 2000), "`rat:mean`", 20, "sex", "age_bin")
+    found = panel_diff.changes(_year_cells(spark, sf, (1999, 2000)), 2000)
+    return profile.grouped_histogram(found, "`rat:mean`", 20, "sex", "age_bin")
+
+
+#: The bin width of each measure's histogram.
+_WIDTHS = {"rat:mean": 20, "gms:sum": 20, "gms:mean": 5}
+
+
+@query("diff_histograms", _DIFFS + " UNION ALL ".join(
+    f"""SELECT CAST({year} AS INT) AS year, '{m}' AS measure, sex, age_bin, CAST(floor(CAST("{m}" AS DOUBLE) / {w}) AS BIGINT) AS bin,
+       count(*) AS n FROM {diff} GROUP BY 1, 2, 3, 4, 5""" for year, diff in ((1999, "d1"), (2000, "d2")) for m, w in _WIDTHS.items()))
+def diff_histograms(spark, sf):
+    """Every measure's changes over both pairs of years."""
+    return panel_diff.change_histograms(_year_cells(spark, sf, (1998, 1999, 2000)), (1999, 2000), _WIDTHS)
