@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from monthloom.functions.aggregates import register_aggregate
@@ -9,15 +10,16 @@ from monthloom.functions.binning import bin_equal_width, bin_right_closed
 from monthloom.functions.periods import PeriodSpec
 from monthloom.model import AGE_GROUP_EDGES, FLAGS
 from monthloom.operators.clean import clean_panel
-from monthloom.operators.encode import one_hot
+from monthloom.operators.encode import category_columns, category_dictionary, learned_vectors, one_hot
 from monthloom.operators.features import (DEFAULT_FEATURES, FeatureSpec, composite_max, composite_values, entity_base,
                                           feature_table, labelled_features, long_features, wide_features)
 from monthloom.operators.targets import Task, build_dataset, task_matrix, x_y_split
 from monthloom.plans.panel_queries import AS_CODED, RULES
 from monthloom.plans.registry import query, rounded
-from monthloom.plans.sql_blocks import (CLEAN, age_group, cells, dataset_ctes, equal_bin, feature_ctes, period_sql,
-                                        target_of)
+from monthloom.plans.sql_blocks import (CLEAN, PANEL, age_group, cells, dataset_ctes, dictionary_ctes, equal_bin, feature_ctes,
+                                        period_sql, target_of)
 from monthloom.sources.driver_tables import PANEL_FIRST, PANEL_LAST, PANEL_REF_YEAR, orders_panel
+from monthloom.sources.store import cut_lineage
 
 TASKS = {t.name: t for t in task_matrix(PANEL_REF_YEAR)}
 
@@ -199,3 +201,30 @@ def _one_hot_sql() -> str:
 @query("onehot_matrix", _one_hot_sql())
 def onehot_matrix(spark, sf):
     return rounded(one_hot(dataset_of(spark, sf, TASKS["clf_6"]), CATEGORIES))
+
+
+ENCODED = ("tit_code", "wtit_code", "otit", "foa", "sex", "k", "fed", "name")
+
+
+@query("category_slots", PANEL + dictionary_ctes("panel", ENCODED) + 'SELECT col AS "column", value, n, slot FROM dictionary')
+def category_slots(spark, sf):
+    """Learned one-hot slots of titles, sexes, federations and names: values are as many as the panel holds."""
+    return category_dictionary(orders_panel(spark, sf), ENCODED).select("column", "value", "n", "slot")
+
+
+def _learned_sql() -> str:
+    numeric = [f"{f}_{s}" for f in ("gms_sum", "gms_mean", "rat_mean", "tit_max", "wtit_max") for s in HALVES]
+    numbers = " UNION ALL ".join(f"SELECT id, {i} + (SELECT max(slot) + 1 FROM dictionary) AS slot, CAST({c} AS DOUBLE) AS value FROM dataset"
+                                 for i, c in enumerate(numeric))
+    return dataset_ctes(6, "clf") + dictionary_ctes("dataset", list(CATEGORIES)) + f"""SELECT id, CAST(slot AS INT) AS slot, round(value, 6) AS value FROM (
+  SELECT id, slot, CAST(1 AS DOUBLE) AS value FROM entries e JOIN dictionary d ON e.place = d.place AND e.value IS NOT DISTINCT FROM d.value
+  UNION ALL {numbers}) WHERE value <> 0 AND slot IS NOT NULL"""
+
+
+@query("onehot_learned", _learned_sql())
+def onehot_learned(spark, sf):
+    """Non-zero places of a dataset's feature vectors, categories learned from the data."""
+    dataset = dataset_of(spark, sf, TASKS["clf_6"])
+    found = learned_vectors(cut_lineage(dataset, "dataset"), category_columns(dataset))
+    places = found.select("id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return rounded(places.where("value <> 0"))

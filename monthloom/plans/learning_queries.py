@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from monthloom.functions.periods import PeriodSpec
-from monthloom.operators.encode import assemble, category_columns, learn_categories
+from monthloom.operators.encode import category_columns, learned_vectors
 from monthloom.operators.features import FeatureSpec, wide_features
 from monthloom.operators.metrics import (baseline_metrics, classification_metrics, confusion_matrix, misclassified,
                                          regression_metrics, stack_metrics, tagged)
@@ -185,8 +185,7 @@ def task_resume(spark, sf):
 def vectors(spark, sf, name: str, bins="groups"):
     """Split dataset of a task with its one-hot encoded feature vector, stored once."""
     split = split_dataset(spark, sf, name, bins)
-    categories = learn_categories(split, category_columns(split))
-    return assemble(split, categories)
+    return learned_vectors(split, category_columns(split))
 
 
 def _grid(spark, sf, name: str):
@@ -218,7 +217,7 @@ def _predicted(spark, sf, names, on: str, models_of):
             features[n] = cut_lineage(features_of(spark, sf, n), f"features-{n}")
         stored = cut_lineage(dataset_of(spark, sf, task, features[n]), f"dataset-{name}")
         split = split_panel(stored, stratify="label" if task.is_clf else None)
-        data = cut_lineage(assemble(split, learn_categories(split, category_columns(split))), f"vectors-{name}")
+        data = learned_vectors(split, category_columns(split))
         evaluate_models(data, models_of(task, vector_size(data)), task.is_clf, on=on, family=task.kind,
                         keep_predictions=lambda p, model, name=name: store.save_predictions(p, name, model))
     return (store.predictions().groupBy("task", F.col("model").alias("name"), "split")

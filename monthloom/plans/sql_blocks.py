@@ -139,6 +139,22 @@ def equal_bin(column: str, source: str, bins: int) -> str:
     return f"CAST(1 + {edges} AS INT)"
 
 
+def dictionary_ctes(source: str, columns, numeric=("k",)) -> str:
+    """Adds ``entries`` and ``dictionary``: the rows and the one-hot slot of every value of some columns."""
+    rows = " UNION ALL ".join(f"SELECT id, {i} AS place, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {source}"
+                              for i, c in enumerate(columns))
+    number = f"CASE WHEN col IN ({', '.join(repr(c) for c in numeric)}) THEN TRY_CAST(value AS DOUBLE) END"
+    return f""", entries AS ({rows}),
+counted AS (SELECT place, col, value, count(*) AS n FROM entries GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY value IS NULL, {number}, value) - 1 AS r,
+                  count(*) OVER (PARTITION BY place) AS n_values FROM counted),
+starts AS (SELECT place, sum(CASE WHEN n_values = 2 THEN 1 ELSE n_values END) OVER (ORDER BY place)
+                  - CASE WHEN n_values = 2 THEN 1 ELSE n_values END AS start FROM (SELECT DISTINCT place, n_values FROM ranked)),
+dictionary AS (SELECT r.place, col, value, n, CAST(CASE WHEN n_values = 2 THEN CASE WHEN r = 1 THEN start END ELSE start + r END AS INT) AS slot
+               FROM ranked r JOIN starts USING (place))
+"""
+
+
 def target_of(n: int) -> int:
     per_year = -(-12 // n)
     start = {1: 11, 6: 6, 12: 0}[n]

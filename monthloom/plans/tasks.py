@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions.periods import PeriodSpec
 from monthloom.operators.clean import CleaningRules
-from monthloom.operators.encode import assemble, category_columns, learn_categories
+from monthloom.operators.encode import category_columns, learned_vectors
 from monthloom.operators.features import DEFAULT_FEATURES, FeatureSpec, feature_table
 from monthloom.operators.metrics import baseline_metrics, stack_metrics, tagged
 from monthloom.operators.models import (FINAL_MODEL, FOREST_SIZES, PCA_SIZES, evaluate_models, make_models, vector_size)
@@ -21,7 +21,7 @@ from monthloom.sources.store import ResultStore, cut_lineage
 def vectors_of(dataset: DataFrame, task: Task, seed: int = 42) -> DataFrame:
     """Split a stored dataset and assemble its feature vector."""
     split = split_panel(dataset, seed=seed, stratify="label" if task.is_clf else None)
-    return assemble(split, learn_categories(split, category_columns(split)))
+    return learned_vectors(split, category_columns(split))
 
 
 def run_tasks(panel: DataFrame, rules: CleaningRules, store: ResultStore, year: int, first: tuple[int, int],
