@@ -46,6 +46,35 @@ def scan_drifted_extracts(spark, sf):
     return panel_io.read_extracts(spark, old, new)
 
 
+_REORDERED = ("mon", "year", "flag", "k", "gms", "rat", "wtit_code", "tit_code", "birth_year", "sex", "fed", "name", "id")
+
+
+def _mixed_extracts(spark, sf):
+    """Two layouts under one glob; the later one's ratings and months are spoilt in some lines."""
+    panel, path = orders_panel(spark, sf), scratch_path(spark, "extracts-mixed")
+    panel_io.write_extracts(panel.where("year < 2000"), f"{path}/old")
+    spoilt = panel.where("year >= 2000").withColumns({
+        "rat": F.when(F.col("id") % 7 == 3, F.concat(F.lit("?"), "rat")).otherwise(F.col("rat").cast("string")),
+        "mon": F.when(F.col("id") % 11 != 4, F.col("mon"))})
+    panel_io.write_extracts(spoilt.select(*_REORDERED), f"{path}/new")
+    return panel_io.read_mixed_extracts(spark, f"{path}/*")
+
+
+@query("scan_mixed_extracts", PANEL + """SELECT id, name, fed, sex, birth_year, tit_code, wtit_code,
+       CASE WHEN year < 2000 THEN otit END AS otit, CASE WHEN year < 2000 THEN foa END AS foa,
+       rat, gms, k, flag, year, mon FROM panel WHERE year < 2000 OR id % 7 <> 3 AND id % 11 <> 4""")
+def scan_mixed_extracts(spark, sf):
+    return _mixed_extracts(spark, sf)[0]
+
+
+@query("quarantined_lines", PANEL + f""", spoilt AS (SELECT * REPLACE (CASE WHEN id % 7 = 3 THEN '?' ELSE '' END || rat AS rat,
+       CASE WHEN id % 11 <> 4 THEN mon END AS mon) FROM panel WHERE year >= 2000 AND (id % 7 = 3 OR id % 11 = 4))
+SELECT concat_ws(', ', CASE WHEN mon IS NULL THEN 'mon' END, CASE WHEN id % 7 = 3 THEN 'rat' END) AS reason,
+       {" || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _REORDERED)} AS line FROM spoilt""")
+def quarantined_lines(spark, sf):
+    return _mixed_extracts(spark, sf)[1].select("reason", "line")
+
+
 @query("scan_panel_parquet", PANEL + "SELECT * FROM panel")
 def scan_panel_parquet(spark, sf):
     path = scratch_path(spark, "panel")
