@@ -21,9 +21,10 @@ from pyspark.sql.window import Window
 from monthloom.llm.common import ship, slices, utf8_view
 
 UNKNOWN = "und"
-#: Bound of the training sample, for each language: so many documents, and of each so many code points.
+#: Bound of the training sample, for each language: so many different texts, an excerpt of so many code points from
+#: a place anywhere in each, and so many bytes in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 200, 400, 50_000
-#: A document is parsed in pieces of so many bytes; each piece begins a phrase of its own.
+#: Long documents are parsed in pieces of so many bytes at the same time.
 PIECE = 1024
 SCHEMA = "pred string, score double"
 
@@ -89,44 +90,89 @@ class Model:
         self.classes = np.zeros(256, np.int32)  # 0: a byte no sample holds
         self.classes[seen] = np.arange(1, len(seen) + 1)
         width, tables, last, at = len(seen) + 1, [], [], 0
+        # places in the flattened table of all languages; an automaton has two states a byte, one more and the last
+        places = sum(2 * max(1, len(text)) + 2 for text in samples.values()) * width
+        kind = np.int32 if places < 1 << 31 else np.int64
         for name in self.languages:
             table = suffix_automaton(self.classes[np.frombuffer(samples[name], np.uint8)], width)
-            # entries become places in the flattened table of all; a negative one begins a phrase
+            table = table.astype(kind, copy=False)
+            # entries become places; a negative one begins a phrase
             for rows in np.array_split(table, max(1, len(table) >> 12)):
                 fresh = rows < 0
-                rows += np.where(fresh, -at, at).astype(np.int32)
-                rows *= np.int32(width)
-                rows += np.where(fresh, width - 1, 0).astype(np.int32)
+                rows += np.where(fresh, -at, at).astype(kind)
+                rows *= kind(width)
+                rows += np.where(fresh, width - 1, 0).astype(kind)
             at += len(table)
             last.append(at - 1)
             tables.append(table.ravel())
         self.table = np.concatenate(tables) if tables else np.zeros(1, np.int32)
-        self.begin = np.array(last, np.int32) * width
+        self.begin = np.array(last, kind) * kind(width)
         self.logs = np.log(np.array([max(2, len(samples[name])) for name in self.languages]))
 
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol, and where it began a phrase."""
+        here = self.table[state + symbol]
+        fresh = here < 0
+        return np.where(fresh, -1 - here, here), fresh
+
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrase counts, texts x languages."""
+        """Phrase counts of the greedy parse of each text, texts x languages."""
         sizes = np.diff(offsets)
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(sizes)), pieces)
         begin = np.repeat(offsets[:-1], pieces) + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
         size = np.minimum(PIECE, offsets[1:][owner] - begin)
+        symbols = self.classes[data]
         order = np.argsort(-size, kind="stable")  # the pieces still running come first at every step
-        owner, begin, size = owner[order], begin[order], size[order]
-        counts = np.zeros((len(self.begin), len(owner)), np.int32)
+        counts = np.zeros((len(self.begin), len(owner)), np.int64)
         state = np.repeat(self.begin[:, None], len(owner), axis=1)
-        symbols = self.classes[data]
-        running = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+        first = begin[order]
+        running = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
         for step, alive in enumerate(running.tolist()):
-            here = self.table[state[:, :alive] + symbols[begin[:alive] + step]]
-            fresh = here < 0
+            state[:, :alive], fresh = self._step(state[:, :alive], symbols[first[:alive] + step])
             counts[:, :alive] += fresh
-            state[:, :alive] = np.where(fresh, -1 - here, here)
+        back = np.argsort(order)
+        counts, state = counts[:, back], state[:, back]
+        self._carry(counts, state, owner, begin, size, symbols)
         out = np.zeros((len(sizes), len(self.begin)))
         for row, c in zip(out.T, counts):
             row += np.bincount(owner, c, len(sizes))
         return out
 
+    def _carry(self, counts: np.ndarray, end: np.ndarray, owner: np.ndarray, begin: np.ndarray, size: np.ndarray,
+               symbols: np.ndarray) -> None:
+        """Turn counts and end states of pieces entered afresh into those of pieces entered where the last one ended.
+
+        Both ways through a piece are followed together and left where they meet, mostly after a few symbols. A piece
+        that they leave apart changes how the next is entered, so that one is followed again.
+        """
+        entered = np.repeat(self.begin[:, None], len(owner), axis=1)
+        after = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # pieces that are not the first of their text
+        lang, piece = (x.ravel() for x in np.meshgrid(np.arange(len(self.begin)), after, indexing="ij"))
+        while len(piece):
+            old, new = entered[lang, piece], end[lang, piece - 1]
+            entered[lang, piece] = new
+            change, moved = np.zeros(len(piece), np.int64), []
+            at, step = np.flatnonzero(old != new), 0
+            old, new = old[at], new[at]
+            while len(at):
+                symbol = symbols[begin[piece[at]] + step]
+                (old, was), (new, now) = self._step(old, symbol), self._step(new, symbol)
+                change[at] += now.astype(np.int64) - was
+                step += 1
+                apart, done = old != new, size[piece[at]] == step
+                moved.append((at[apart & done], new[apart & done]))
+                on = apart & ~done
+                at, old, new = at[on], old[on], new[on]
+            counts[lang, piece] += change
+            for which, state in moved:
+                end[lang[which], piece[which]] = state
+            which = np.concatenate([w for w, _ in moved]) if moved else np.zeros(0, np.int64)
+            lang, piece = lang[which], piece[which] + 1
+            last = np.r_[owner[1:] != owner[:-1], True]
+            on = ~last[piece - 1]
+            lang, piece = lang[on], piece[on]
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language of least entropy, and its share when entropies are weighed as 2^(-8 h / least)."""
         entropy = self.phrases(data, offsets) * self.logs / np.maximum(1, np.diff(offsets))[:, None]
@@ -137,21 +183,29 @@ class Model:
 
 
 def training_sample(docs: DataFrame) -> dict[str, bytes]:
-    """At most ``SAMPLE_DOCS`` labelled documents a language, and ``SAMPLE_BYTES`` of their normalised text.
+    """Excerpts of at most ``SAMPLE_DOCS`` different labelled texts a language, ``SAMPLE_BYTES`` in all.
 
-    Documents come in the order of a hash of their text, so the sample depends on the labelled texts alone;
-    only the least of each input partition are shuffled.
+    Every part of every labelled text can be drawn: texts come in the order of a hash, however often they are
+    repeated, and the hash also says where in the text its excerpt lies. So the sample depends on the labelled
+    texts alone. Hashes are counted before they are ranked; texts are read again for the chosen hashes only.
     """
     rows = (docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & is_training(F.col("doc_id")))
-            .select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, 4 * SAMPLE_CHARS).alias("text"))
-            .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-            .where(F.col("place") <= SAMPLE_DOCS)
-            .select("lang", "place", F.substring(normal(F.col("text")), 1, SAMPLE_CHARS).alias("text")))
+            .select("lang", F.xxhash64("text").alias("h"), "text"))
+    chosen = (rows.groupBy("lang", "h").agg(F.lit(1).alias("one"))
+              .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+              .where(F.col("place") <= SAMPLE_DOCS).select("lang", "h", "place"))
+    # few rows for each language, whatever the number of documents
+    found = rows.join(F.broadcast(chosen), ["lang", "h"])
+    spare = F.greatest(F.lit(0), F.length("text") - 2 * SAMPLE_CHARS)  # twice as much, as normalising shortens
+    start = F.pmod("h", spare + 1).cast("int") + 1
+    drawn = (found.select("lang", "place", F.substring(F.col("text"), start, F.lit(2 * SAMPLE_CHARS)).alias("text"))
+             .groupBy("lang", "place").agg(F.min("text").alias("text"))
+             .select("lang", "place", F.substring(normal(F.col("text")), 1, SAMPLE_CHARS).alias("text")))
     parts: dict[str, list[str]] = {}
-    for lang, _, text in sorted(rows.collect()):
+    for lang, _, text in sorted(drawn.collect()):
         parts.setdefault(lang, []).append(text)
-    found = {lang: " ".join(t).encode()[:SAMPLE_BYTES] for lang, t in parts.items()}
-    return {lang: text for lang, text in found.items() if text.strip()}
+    joined = {lang: " ".join(t).encode()[:SAMPLE_BYTES] for lang, t in parts.items()}
+    return {lang: text for lang, text in joined.items() if text.strip()}
 
 
 def _predict(shared):

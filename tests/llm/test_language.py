@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from monthloom.llm.language import Model, identify, suffix_automaton
+from monthloom.llm.language import PIECE, Model, identify, normal, suffix_automaton, training_sample
 
 
 def greedy(text: bytes, sample: bytes) -> int:
@@ -45,6 +45,46 @@ def test_phrases_are_the_greedy_parse():
             assert value == greedy(text, sample[name])
 
 
+def test_long_texts_have_the_phrases_of_one_parse():
+    """Pieces are joined: the counts are those of a parse without pieces, also where phrases outlast a piece."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 101, 6).astype(np.uint8)) for _ in range(40)]
+    sample = {"x": b" ".join(words[int(i)] for i in rng.integers(0, 40, 60)), "y": b"ab" * 900, "z": bytes(range(97, 105)) * 300}
+    model = Model(sample)
+    texts = [b" ".join(words[int(i)] for i in rng.integers(0, 40, n)) for n in (1, 146, 147, 300, 1200)]
+    texts += [b"ab" * 2600, b"a" * 3000, bytes(range(97, 105)) * 500, b"", b"ab" * 512, b"ab" * 1024 + b"q" + b"ab" * 700]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = model.phrases(data, np.r_[0, np.cumsum([len(t) for t in texts])])
+    for row, text in zip(got, texts):
+        for name, value in zip(model.languages, row):
+            assert value == greedy(text, sample[name]), (name, text[:20], len(text))
+
+
+def test_predictions_by_brute_force(small):
+    """Whole long texts against the sample, phrase by phrase."""
+    docs = small.orderBy(F.length("text").desc_nulls_last()).limit(12)
+    sample = training_sample(small)
+    normals = {r.doc_id: r.t.encode() for r in docs.select("doc_id", normal(F.col("text")).alias("t")).collect()}
+    assert max(len(t) for t in normals.values()) > 3 * PIECE
+    model = Model(sample)
+    for text in normals.values():
+        least = [greedy(text, sample[name]) * np.log(len(sample[name])) for name in model.languages]
+        best, _ = model.predict(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert model.languages[best[0]] == model.languages[int(np.argmin(least))]
+
+
+def test_sample_takes_different_texts_from_anywhere(spark):
+    """Copies take one place, and an excerpt may lie behind the beginning of its text."""
+    schema = "doc_id long, text string, lang string"
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    copies = [(i, "the very same text", "en") for i in ids[:1000]]
+    others = [(i, "".join(chr(97 + (i // 26 ** k) % 26) for k in range(3)) + " word", "en") for i in ids[1000:1100]]
+    sample = training_sample(spark.createDataFrame(copies + others, schema))["en"].decode()
+    assert sample.count("very same") == 1 and sample.count(" word") == 100
+    ends = [(i, "x" * 3000 + f" end{'abcdefghij'[n % 10]}" * 300, "fr") for n, i in enumerate(ids[:60])]
+    assert "end" in training_sample(spark.createDataFrame(ends, schema))["fr"].decode()
+
+
 def test_held_out_accuracy(small):
     rows = identify(small, ("doc_id", "lang")).collect()
     held = [r for r in rows if r.held_out]
