@@ -9,6 +9,8 @@ Accepted forms. Phones of 7 to 15 digits: ``+`` and 7 to 15 digits, or ``+``, a
 space, dot or hyphen; ``(ddd) ddd-dddd`` with or without a country code; ``ddd ddd dddd`` with spaces, dots or
 hyphens. Dates of 1900 to 2099: ``yyyy-mm-dd``; day, month, year or month, day, year (day first if both can be) with
 ``/``, ``.`` or ``-``, with or without leading zeros. Two-digit years and names of months are not recognised.
+A phone keeps its country code, and the digits after it are permuted together, so one number has one pseudonym
+however it is divided, with or without its country code.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ PATTERNS = {
     "date": [r"(?<![\p{L}\p{N}-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}-])",
              *[rf"(?<![\p{{L}}\p{{N}}-]|[0-9][/.])[0-9]{{1,2}}{s}[0-9]{{1,2}}{s}(?:19|20)[0-9]{{2}}(?![\p{{L}}\p{{N}}-]|[/.][0-9])" for s in ("/", r"\.", "-")]],
     "ssn": [r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"],
-    "card": [r"(?<![\p{L}\p{N}]|(?<![0-9])-)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])"],
+    "card": [r"(?<![\p{L}\p{N}]|(?<![0-9])-)[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}(?![\p{L}\p{N}])",
+             r"(?<![\p{L}\p{N}]|(?<![0-9])-)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])"],
 }
 _NUMBERS = [p for kind, patterns in PATTERNS.items() if kind != "email" for p in patterns]
 #: A mail address, or a run of digit groups with the characters next to it: no number reaches beyond its run.
@@ -44,6 +47,10 @@ ANY = (rf"{_MAIL}|[\p{{L}}._-[\p{{N}}&&[^0-9]]]?+[+(]*+(?!{_MAIL})[0-9]++"
        rf"(?:(?:[ ./()+-]{{1,3}}+|[\p{{L}}\p{{N}}])(?!{_MAIL})[0-9]++)*+[\p{{L}}\p{{N}}-]?+")
 #: A number may begin at a digit group or at a sign before one, and reaches over so many of these at most.
 _BEGIN, _REACH = r"(?=[+(])|(?<![0-9])(?=[0-9])", 10
+#: Country codes of telephone numbers, of which none begins another.
+_COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Numbers that are permuted again while they are not valid, at most so often; one in ten is not.
+WALKS = 24
 #: Days of a century as two factors: 1900-1999 has 36524, 2000-2099 has 36525.
 _CENTURY = {19: ("1900-01-01", 92, 397), 20: ("2000-01-01", 75, 487)}
 
@@ -98,13 +105,21 @@ def _refilled(match: Column, digits: Column) -> Column:
                                    lambda gap, d: F.concat(gap, F.coalesce(d, F.lit("")))), "")
 
 
-def _number(match: Column, key: str, kind: str) -> Column:
-    return _refilled(match, permuted_digits(digits_of(match), key, kind))
+def _phone(match: Column, key: str) -> Column:
+    digits = digits_of(match)
+    country = F.when(F.startswith(match, F.lit("+")), F.regexp_extract(digits, _COUNTRY, 0)).otherwise("")
+    return _refilled(match, F.concat(country, permuted_digits(F.substring(digits, F.length(country) + 1, F.length(digits)), key, "phone")))
 
 
-def _phone(match: Column, key: str) -> Column:
-    country = F.regexp_extract(match, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    return F.concat(country, _number(F.substring(match, F.length(country) + 1, F.length(match)), key, "phone"))
+def ssn_valid(digits: Column) -> Column:
+    return ~F.rlike(digits, F.lit("^(?:000|666|9)|^...00|0000$"))
+
+
+def _ssn(match: Column, key: str) -> Column:
+    once = permuted_digits(digits_of(match), key, "ssn")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once,
+                         lambda d, _: F.when(ssn_valid(d), d).otherwise(permuted_digits(d, key, "ssn")))
+    return _refilled(match, walked)
 
 
 def _card(match: Column, key: str) -> Column:
@@ -151,8 +166,8 @@ def _date(match: Column, key: str) -> Column:
 
 def _email(match: Column, key: str) -> Column:
     name, host = F.substring_index(F.lower(match), "@", 1), F.substring_index(F.lower(match), "@", -1)
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("name"), name, host), 256), 1, 12), F.lit("@h"),
-                    F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("host"), host), 256), 1, 8), F.lit(".example"))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("name"), name, host), 256), 1, 24), F.lit("@h"),
+                    F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("host"), host), 256), 1, 20), F.lit(".example"))
 
 
 def kind_of(match: Column) -> Column:
@@ -164,14 +179,14 @@ def kind_of(match: Column) -> Column:
             .when(F.rlike(match, F.lit(r"^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}$")),
                   F.when(F.coalesce(_dated(match, 2, 1, 0), _dated(match, 2, 0, 1)).isNotNull(), "date"))
             .when(F.rlike(match, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
-                  F.when(~F.rlike(match, F.lit("^(?:000|666|9)|-00-|-0000$")), "ssn"))
+                  F.when(ssn_valid(digits_of(match)), "ssn"))
             .when(F.rlike(match, F.lit(r"^[+(]|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")), F.when(digits.between(7, 15), "phone"))
             .when(digits.between(13, 19) & luhn_valid(digits_of(match)), "card"))
 
 
 def pseudonym(match: Column, kind: Column, key: str) -> Column:
     return (F.when(kind == "email", _email(match, key)).when(kind == "ip", _ip(match, key)).when(kind == "date", _date(match, key))
-            .when(kind == "ssn", _number(match, key, "ssn")).when(kind == "phone", _phone(match, key))
+            .when(kind == "ssn", _ssn(match, key)).when(kind == "phone", _phone(match, key))
             .when(kind == "card", _card(match, key)).otherwise(match))
 
 
