@@ -162,8 +162,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     settled = (judged.where(F.col("kind") == SUMMARY).groupBy("h1", "h2")
                .agg(F.sum("n").alias("n_docs"), F.max("did").alias("largest"))
                .where(F.col("n_docs") >= min_docs))
-    # at most two keys for each partition of the sort
-    edges = (judged.where(F.col("kind") == EDGE).join(F.broadcast(settled), ["h1", "h2"])
+    # two keys for each partition of the sort at most; the planner broadcasts them if they are few
+    edges = (judged.where(F.col("kind") == EDGE).join(settled, ["h1", "h2"])
              .where("did != largest").select("did", "th", "pos"))
     dropped = judged.where(F.col("kind") == DROP).select("did", "th", "pos").unionByName(edges)
     return (dropped.groupBy("did", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
