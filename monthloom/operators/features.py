@@ -8,12 +8,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from monthloom.functions.aggregates import aggregate, earliest, latest
 from monthloom.functions.periods import PeriodSpec, month_index
 from monthloom.functions.scalars import age_in, domain_value, fingerprint, strict_rank
 from monthloom.model import FLAGS, SEXES
 from monthloom.operators.clean import CleaningRules, clean_panel, recode_rows
+from monthloom.operators.skew import salted_join
+from monthloom.sources.store import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -102,6 +105,39 @@ def composite_values(panel: DataFrame, columns: Sequence[str], period: PeriodSpe
             .select("id", "period_ord", "p.column", "p.value"))
 
 
+def composite_chain(panel: DataFrame, columns: Sequence[str], period: PeriodSpec) -> DataFrame:
+    """The chained tuples of a composite sum in order: ``id, period_ord, position, column, value``.
+
+    Tuples of an entity and period follow one another by month, those of one month by their values (null first);
+    position counts the chain's elements from 1. Rows are range-partitioned and numbered as they lie, so that a
+    chain of any length may go over many partitions; a row's place less that of its chain's first row is its position.
+    Rows without a month have no place in a chain.
+    """
+    order = ["id", "period_ord", "year", "mon", *columns]
+    # values of which two have one name, as a column asked for may be a key
+    tuples = (panel.where(F.col("year").isNotNull() & F.col("mon").isNotNull())
+              .select("id", period.ordinal_column().alias("period_ord"), "year", "mon", *[c for c in columns if c not in ("id", "year", "mon")]))
+    sort = list(dict.fromkeys(order))
+    laid = cut_lineage(tuples.repartitionByRange(*sort).sortWithinPartitions(*sort)
+                       .withColumn("at", F.monotonically_increasing_id()), "chain")
+    part = F.shiftright("at", 33).alias("part")
+    # one row for each partition of the sort
+    sizes = laid.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    placed = (laid.withColumn("part", part).join(F.broadcast(before), "part")
+              .withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "before", "at"))
+    starts = placed.groupBy("id", "period_ord").agg(F.min("place").alias("start"))
+    tuple_at = (F.col("place") - F.col("start")) * len(columns)
+    # null ids make chains too, which an equality of keys would not join
+    joined = salted_join(placed.withColumn("key", F.xxhash64(F.col("id").isNull(), "id", "period_ord")), starts.select(
+        F.xxhash64(F.col("id").isNull(), "id", "period_ord").alias("key"), F.col("id").alias("sid"), F.col("period_ord").alias("speriod"), "start"), "key", "inner", spread=["place"])
+    joined = joined.where(F.col("id").eqNullSafe(F.col("sid")) & (F.col("period_ord") == F.col("speriod")))
+    pieces = F.explode(F.array(*[
+        F.struct((tuple_at + i + 1).alias("position"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+        for i, c in enumerate(columns)])).alias("p")
+    return joined.select("id", "period_ord", pieces).select("id", "period_ord", "p.position", "p.column", "p.value")
+
+
 # ---- wide ----------------------------------------------------------------
 
 

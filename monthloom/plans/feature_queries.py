@@ -11,7 +11,7 @@ from monthloom.functions.periods import PeriodSpec
 from monthloom.model import AGE_GROUP_EDGES, FLAGS
 from monthloom.operators.clean import clean_panel
 from monthloom.operators.encode import category_columns, category_dictionary, learned_vectors, one_hot
-from monthloom.operators.features import (DEFAULT_FEATURES, FeatureSpec, composite_max, composite_values, entity_base,
+from monthloom.operators.features import (DEFAULT_FEATURES, FeatureSpec, composite_chain, composite_max, composite_values, entity_base,
                                           feature_table, labelled_features, long_features, wide_features)
 from monthloom.operators.targets import Task, build_dataset, task_matrix, x_y_split
 from monthloom.plans.panel_queries import AS_CODED, RULES
@@ -77,6 +77,16 @@ def composite_rows(spark, sf):
     return composite_values(clean_panel(orders_panel(spark, sf), RULES), ["rat", "foa"], PeriodSpec(6))
 
 
+@query("composite_chain", CLEAN + f""", placed AS (
+  SELECT id, CAST({period_sql(6)} AS INT) AS period_ord, rat, foa, row_number() OVER (
+    PARTITION BY id, {period_sql(6)} ORDER BY year, mon, rat NULLS FIRST, foa NULLS FIRST) AS rn FROM clean)
+""" + " UNION ALL ".join(
+    f"""SELECT id, period_ord, 2 * (rn - 1) + {i} AS position, '{c}' AS "column", CAST({c} AS VARCHAR) AS value FROM placed"""
+    for i, c in enumerate(("rat", "foa"), 1)))
+def chained_rows(spark, sf):
+    return composite_chain(clean_panel(orders_panel(spark, sf), RULES), ["rat", "foa"], PeriodSpec(6))
+
+
 # ---- wide features -----------------------------------------------------------------
 
 

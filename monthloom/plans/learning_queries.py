@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.functions.periods import PeriodSpec
@@ -18,7 +21,7 @@ from monthloom.plans.registry import query, rounded
 from monthloom.plans.sql_blocks import (PANEL, clf_metrics_sql, dataset_ctes, ordinals, reg_metrics_sql, split_ctes, suffix,
                                         target_of)
 from monthloom.sources.driver_tables import PANEL_REF_YEAR, label_predictions, orders_panel, table
-from monthloom.sources.store import ResultStore, cut_lineage, scratch_path
+from monthloom.sources.store import ResultStore, cut_lineage, input_digest, scratch_path
 
 
 def split_dataset(spark, sf, name: str, bins="groups"):
@@ -179,6 +182,23 @@ def task_resume(spark, sf):
     return store.pending(spark.createDataFrame([(name,) for name in TASKS], "task string"))
 
 
+@query("task_commits", f"""SELECT * FROM ({dataset_ctes(6, "clf")} SELECT 'clf_6' AS task, count(*) AS n_rows, true AS done FROM dataset)
+UNION ALL SELECT * FROM ({dataset_ctes(6, "regr")} SELECT 'regr_6', count(*), false FROM dataset)""")
+def task_commits(spark, sf):
+    """Two tasks of which one ends before its commit: rows stored, and whether the task counts as done."""
+    store = ResultStore(spark, scratch_path(spark, "results"))
+    inputs = input_digest(orders_panel(spark, sf), "task_commits")
+    stored = {}
+    for name in ("clf_6", "regr_6"):
+        store.begin(name)
+        stored[name] = store.save_dataset(dataset_of(spark, sf, TASKS[name]), name).agg(F.count("*").alias("n_rows"))
+    store.commit("clf_6", inputs)
+    names = spark.createDataFrame([(name,) for name in stored], "task string")
+    left = store.pending(names, inputs).withColumn("left", F.lit(True))
+    rows = reduce(DataFrame.union, [n.select(F.lit(name).alias("task"), "n_rows") for name, n in stored.items()])
+    return rows.join(left, "task", "left").select("task", "n_rows", F.col("left").isNull().alias("done"))
+
+
 # ---- models -----------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from monthloom.operators.metrics import baseline_metrics, stack_metrics, tagged
 from monthloom.operators.models import (FINAL_MODEL, FOREST_SIZES, PCA_SIZES, evaluate_models, make_models, vector_size)
 from monthloom.operators.split import split_panel
 from monthloom.operators.targets import KINDS, TASK_PERIODS, Task, build_dataset, task_matrix
-from monthloom.sources.store import ResultStore, cut_lineage
+from monthloom.sources.store import ResultStore, cut_lineage, input_digest
 
 
 def vectors_of(dataset: DataFrame, task: Task, seed: int = 42) -> DataFrame:
@@ -29,16 +29,18 @@ def run_tasks(panel: DataFrame, rules: CleaningRules, store: ResultStore, year:
               specs: Sequence[FeatureSpec] = DEFAULT_FEATURES, bins="groups", diff: float = 10,
               pca: Sequence[int] = PCA_SIZES, trees: Sequence[int] = FOREST_SIZES, max_depth: int = 30,
               seed: int = 42) -> DataFrame:
-    """Run every task without stored metrics and return the metrics table.
+    """Run every task not yet committed with these inputs and return the metrics of committed ones.
 
     The wide features are computed and stored once per granularity and shared by its tasks. Each
-    task stores its dataset, the validation predictions of every model, and one set of metric rows
-    for models and baselines, last, so an interrupted run resumes at the task it was in.
+    task stores its dataset, the validation predictions of every model, one set of metric rows
+    for models and baselines, and last its commit, which names a digest of the panel and the settings.
+    An interrupted run resumes at the task it was in, which begins anew; so does a task whose inputs changed.
     """
     spark = panel.sparkSession
     tasks = task_matrix(year, periods, kinds)
     wanted = spark.createDataFrame([(t.name,) for t in tasks], "task string")
-    pending = {r["task"] for r in store.pending(wanted).collect()}  # at most one row per task
+    inputs = input_digest(panel, rules, year, first, last, tuple(specs), bins, diff, tuple(pca), tuple(trees), max_depth, seed)
+    pending = {r["task"] for r in store.pending(wanted, inputs).collect()}  # at most one row per task
     for n, _ in periods:
         todo = [t for t in tasks if t.n_months == n and t.name in pending]
         if not todo:
@@ -47,6 +49,7 @@ def run_tasks(panel: DataFrame, rules: CleaningRules, store: ResultStore, year:
         span = period.span(first, last)
         features = cut_lineage(feature_table(panel, rules, period, span, specs), f"features-{n}")
         for task in todo:
+            store.begin(task.name)
             dataset = store.save_dataset(
                 build_dataset(features, period, span, task.target, task.kind, specs, bins, diff), task.name)
             data = vectors_of(dataset, task, seed)
@@ -55,7 +58,8 @@ def run_tasks(panel: DataFrame, rules: CleaningRules, store: ResultStore, year:
             _, scores = evaluate_models(data, models, task.is_clf, family=task.kind, keep_predictions=keep)
             base = tagged(baseline_metrics(data, task.is_clf), "baseline", "baseline", task.kind)
             store.save_metrics(stack_metrics([scores, base]), task.name)
-    return store.metrics()
+            store.commit(task.name, inputs)
+    return store.metrics(committed=True)
 
 
 def final_evaluation(store: ResultStore, tasks: Sequence[Task], model: str = FINAL_MODEL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -48,8 +49,35 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: One row for each finished task: what it was made from, and the columns and rows of its dataset.
+COMMITS_SCHEMA = T.StructType([
+    T.StructField("inputs", T.StringType()),
+    T.StructField("columns", T.StringType()),
+    T.StructField("n_rows", T.LongType()),
+    T.StructField("models", T.ArrayType(T.StringType())),
+    T.StructField("task", T.StringType()),
+])
+
+
+def input_digest(table: DataFrame, *settings: object) -> str:
+    """A digest of a table's columns and rows, in any order and with repeats, and of settings."""
+    content = table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((table.dtypes, tuple(content), settings)).encode()).hexdigest()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark writes to, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class ResultStore:
-    """Parquet tables below one root, each partitioned by task."""
+    """Parquet tables below one root, each partitioned by task.
+
+    ``begin`` and ``commit`` frame the work on a task. The commit is one row in one file, which appears when all
+    else is written; what a task without it has left is not read with ``committed=True``, and the next ``begin``
+    removes it.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -75,16 +103,42 @@ class ResultStore:
         (complete.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("task").parquet(self._path("metrics")))
 
-    def metrics(self) -> DataFrame:
+    def metrics(self, committed: bool = False) -> DataFrame:
         found = self._read(self._path("metrics"), METRICS_SCHEMA)
-        return self.spark.createDataFrame([], METRICS_SCHEMA) if found is None else found
+        if found is None:
+            return self.spark.createDataFrame([], METRICS_SCHEMA)
+        return self._finished(found) if committed else found
 
     def export_metrics_csv(self, path: str) -> None:
         self.metrics().coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
-    def pending(self, tasks: DataFrame) -> DataFrame:
-        """Rows of ``tasks`` (column ``task``) without stored metrics."""
-        return tasks.join(self.metrics().select("task").distinct(), "task", "left_anti")
+    def pending(self, tasks: DataFrame, inputs: str | None = None) -> DataFrame:
+        """Rows of ``tasks`` (column ``task``) without stored metrics; with ``inputs``, without a commit of these."""
+        if inputs is None:
+            return tasks.join(self.metrics().select("task").distinct(), "task", "left_anti")
+        return tasks.join(self.commits().where(F.col("inputs") == inputs).select("task"), "task", "left_anti")
+
+    # ---- commits: one row a task ---------------------------------------
+    def commits(self) -> DataFrame:
+        found = self._read(self._path("commits"), COMMITS_SCHEMA)
+        return self.spark.createDataFrame([], COMMITS_SCHEMA) if found is None else found
+
+    def _finished(self, table: DataFrame) -> DataFrame:
+        return table.join(self.commits().select("task"), "task", "left_semi").select(table.columns)
+
+    def begin(self, task: str) -> None:
+        """Remove all that is stored of ``task``, its commit first, so that no half of it can count as done."""
+        for table in ("commits", "metrics", "predictions", "dataset"):
+            remove(self.spark, self._path(f"{table}/task={task}"))
+
+    def commit(self, task: str, inputs: str) -> None:
+        """Declare ``task`` done, made from ``inputs`` (any text; ``input_digest`` makes one)."""
+        dataset, predictions = self.dataset(task), self._read(self._path(f"predictions/task={task}"))
+        models = [] if predictions is None else sorted(r[0] for r in predictions.select("model").distinct().collect())  # a grid's
+        columns = "" if dataset is None else hashlib.sha256(dataset.schema.simpleString().encode()).hexdigest()
+        row = (inputs, columns, 0 if dataset is None else dataset.count(), models, task)
+        (self.spark.createDataFrame([row], COMMITS_SCHEMA).coalesce(1).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("task").parquet(self._path("commits")))
 
     # ---- datasets and predictions: a folder per task -------------------
     def save_dataset(self, dataset: DataFrame, task: str) -> DataFrame:
@@ -100,5 +154,6 @@ class ResultStore:
         predictions.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(predictions.schema).parquet(path)
 
-    def predictions(self) -> DataFrame | None:
-        return self._read(self._path("predictions"))
+    def predictions(self, committed: bool = False) -> DataFrame | None:
+        found = self._read(self._path("predictions"))
+        return self._finished(found) if committed and found is not None else found

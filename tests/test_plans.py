@@ -9,7 +9,7 @@ from monthloom.functions.periods import PeriodSpec
 from monthloom.operators.clean import CleaningRules, clean_panel, cleaning_exceptions
 from monthloom.operators.features import feature_table, wide_features, DEFAULT_FEATURES
 from monthloom.operators.quantiles import box_stats
-from monthloom.operators.skew import salted_join
+from monthloom.operators.skew import heavy_keys, salted_join
 from monthloom.operators.split import split_panel
 from monthloom.plans.registry import QUERIES, rounded
 from monthloom.sources.driver_tables import orders_panel
@@ -100,18 +100,40 @@ def test_hot_entity_reaches_the_shuffle_combined(spark, sf_dir):
 
 
 def test_salted_join_equals_plain_join(spark, sf_dir):
-    panel = orders_panel(spark, sf_dir)
+    panel = cut_lineage(orders_panel(spark, sf_dir), "even")
+    entity = panel.select("id").first()[0]
+    # one entity with two rows of three; its months are many
+    hot = cut_lineage(panel.unionByName(panel.withColumn("id", F.lit(entity).cast("long")))
+                      .unionByName(panel.withColumn("id", F.lit(entity).cast("long"))), "hot")
     facts = panel.groupBy("id").agg(F.max("rat").alias("top")).where("top > 2000")
-    for how in ("left", "left_anti", "left_semi", "inner"):
-        assert rows(salted_join(panel, facts, "id", how)) == rows(panel.join(facts, "id", how)), how
+    heavy = heavy_keys(hot, "id")
+    assert heavy_keys(panel, "id") == {} and list(heavy) == [spark.range(1).select(F.xxhash64(F.lit(entity).cast("long"))).first()[0]]
+    for table in (panel, hot):
+        for how in ("left", "left_anti", "left_semi", "inner"):
+            assert rows(salted_join(table, facts, "id", how)) == rows(table.join(facts, "id", how)), how
+    narrow = facts.withColumn("id", F.col("id").cast("int"))  # the same ids as another type
+    assert rows(salted_join(hot, narrow, "id", "inner")) == rows(hot.join(narrow, "id", "inner"))
     # the planner may broadcast small facts, as the sizes it has seen so far suggest; here it is the other join that counts
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        text = plan(salted_join(panel, facts, "id", "left").groupBy("id").agg(F.sum("top")))
+        plain, salted = (plan(salted_join(t, facts, "id", "left").groupBy("id").agg(F.sum("top"))) for t in (panel, hot))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert re.search(r"hashpartitioning\(id#\w+, salt#\w+", text) and "partial_sum" in text
+    assert re.search(r"hashpartitioning\(id#\w+, salt#\w+", salted) and "partial_sum" in salted
+    assert "salt#" not in plain and "Generate explode" not in plain
+
+
+def test_heavy_keys_are_all_found(spark):
+    """Against plain counts: every key above its share, with as many tasks as its rows fill."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = spark.range(0, 60_000, 1, 40).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 < 4, None).otherwise(F.col("id")).alias("k"))
+    n = {r.k: r["count"] for r in data.groupBy("k").count().where(f"count > {60_000 // parts}").collect()}
+    of = {r.h: r.k for r in data.select("k", F.xxhash64("k").alias("h")).distinct().where("k IS NULL OR k = 7").collect()}
+    found = heavy_keys(data, "k")
+    assert {of[h] for h in found} == set(n) == {7, None}
+    assert all(abs(tasks - n[of[h]] * parts / 60_000) <= 1.01 for h, tasks in found.items())
+    assert heavy_keys(data.limit(0), "k") == {}
 
 
 def test_hot_category_is_not_gathered(spark, sf_dir):

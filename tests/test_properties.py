@@ -179,3 +179,29 @@ def test_one_hot(spark):
     assert learn_categories(df, ["sex"]) == {"sex": ["F", "M", None]}
     with pytest.raises(ValueError, match="too many"):
         learn_categories(df, ["id"], limit=2)
+
+
+def test_chains_are_numbered_across_partitions(spark):
+    """Against plain Python: one chain over many partitions, ties, nulls, no month, and an entity without an id."""
+    from monthloom.functions.periods import PeriodSpec
+    from monthloom.operators.features import composite_chain
+    data = [(1, 2019, 1 + i % 12, i % 7 if i % 5 else None, "x" * (i % 3)) for i in range(3000)]
+    data += [(2, 2019, 3, 5, "b"), (2, 2019, 3, 5, "a"), (2, 2019, 3, 5, "a"), (None, 2019, 8, 1, "n"), (3, None, 1, 1, "z"), (2, 2019, 9, 1, None)]
+    df = spark.createDataFrame(data, "id long, year int, mon int, rat int, foa string").repartition(7)
+    period = PeriodSpec(6)
+    want, at = [], {}
+    null_first = lambda t: [(v is not None, v) for v in t]
+    for i, year, mon, rat, foa in sorted((d for d in data if d[1]), key=lambda t: [(v is not None, v or 0 if not isinstance(v, str) else v) for v in t]):
+        group = (i, period.ordinal(year, (mon - 1) // 6 * 6))
+        for name, value in (("rat", rat), ("foa", foa)):
+            at[group] = at.get(group, 0) + 1
+            want.append((*group, at[group], name, None if value is None else str(value)))
+    for split in ("3", "16"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", split)
+            got = composite_chain(df, ["rat", "foa"], period)
+            assert sorted(map(tuple, got.collect()), key=null_first) == sorted(want, key=null_first)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert composite_chain(df.limit(0), ["rat", "foa"], period).collect() == []

@@ -7,7 +7,7 @@ from monthloom.model import PANEL_COLUMNS
 from monthloom.operators.targets import task_matrix
 from monthloom.sources.driver_tables import orders_panel
 from monthloom.sources.panel_io import read_extracts, read_panel, write_extracts, write_panel
-from monthloom.sources.store import ResultStore, cut_lineage, scratch_path, shared_dir
+from monthloom.sources.store import ResultStore, cut_lineage, input_digest, scratch_path, shared_dir
 
 
 def test_extract_roundtrip(spark, sf_dir):
@@ -56,6 +56,56 @@ def test_datasets_and_predictions(spark):
     assert rows(store.predictions().groupBy("task", "model").count()) == [("clf_6", "m1", 2), ("clf_6", "m2", 4)]
 
 
+def test_a_task_counts_as_done_by_its_commit_alone(spark):
+    store = ResultStore(spark, scratch_path(spark, "s"))
+    tasks = spark.createDataFrame([("clf_6",), ("regr_6",)], "task string")
+    metrics = spark.createDataFrame([("m1", 0.5, 0.6)], "name string, auc double, accuracy double")
+    for task in ("clf_6", "regr_6"):
+        store.begin(task)
+        store.save_dataset(spark.range(3), task)
+        store.save_predictions(spark.range(2), task, "m1")
+    store.save_metrics(metrics, "clf_6")
+    assert store.commits().count() == 0 and store.predictions(committed=True).count() == 0
+    store.commit("clf_6", "x")
+    assert rows(store.pending(tasks, "x")) == [("regr_6",)]
+    assert rows(store.pending(tasks, "y")) == [("clf_6",), ("regr_6",)]  # made from other inputs
+    assert rows(store.predictions(committed=True).select("task").distinct()) == [("clf_6",)]
+    assert rows(store.commits().select("task", "n_rows", "models")) == [("clf_6", 3, ["m1"])]
+    store.begin("regr_6")  # what the ended run has left goes
+    assert store.dataset("regr_6") is None and rows(store.predictions().select("task").distinct()) == [("clf_6",)]
+    store.begin("clf_6")
+    assert store.commits().count() == 0 and store.metrics().count() == 0
+
+
+def test_input_digest(spark):
+    table = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id long, t string")
+    same = input_digest(table, "s", 1)
+    assert same == input_digest(table.repartition(3), "s", 1) == input_digest(table.orderBy(F.desc("id")), "s", 1)
+    assert len({same, input_digest(table.distinct(), "s", 1), input_digest(table, "s", 2),
+                input_digest(table.withColumnRenamed("t", "u"), "s", 1), input_digest(table.limit(0), "s", 1)}) == 5
+
+
+def test_a_run_killed_before_its_metrics_begins_the_task_anew(spark, sf_dir, monkeypatch):
+    """Between predictions and metrics: nothing counts, and the next run leaves no prediction of the first."""
+    import pytest
+    from monthloom.operators.clean import CleaningRules
+    from monthloom.plans.tasks import run_tasks
+
+    store = ResultStore(spark, scratch_path(spark, "run"))
+    args = (cut_lineage(orders_panel(spark, sf_dir), "run-panel"), CleaningRules(2000), store, 2000, (1995, 1), (2001, 8))
+    small = dict(periods=((12, 12),), kinds=("regr",), trees=(2,), max_depth=2)
+    with monkeypatch.context() as m:
+        m.setattr(store, "save_metrics", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            run_tasks(*args, pca=(2,), **small)
+    assert store.predictions().count() > 0 and store.predictions(committed=True).count() == 0
+    assert store.metrics(committed=True).count() == 0
+    done = run_tasks(*args, pca=(3,), **small)
+    assert done.where("type = 'predicted'").count() == 1
+    assert rows(store.predictions(committed=True).select("task", "model").distinct()) == [("regr_12", "PCA_3-RF_2")]
+    assert store.predictions().count() == store.predictions(committed=True).count()
+
+
 def test_cut_lineage_reads_from_the_shared_folder(spark):
     cut = cut_lineage(spark.range(5), "cut")
     assert "/cut-" in cut.inputFiles()[0] and shared_dir(spark).split("/")[-1] in cut.inputFiles()[0]
