@@ -55,6 +55,18 @@ def test_dense_and_sorted_splits_agree(monkeypatch):
     assert all(np.allclose(found[0][c], found[1][c]) for c in ("feature", "cut", "child", "value"))
 
 
+def test_only_tried_features_are_counted(monkeypatch):
+    """A level takes as many counts as a node tries features, not as there are features."""
+    import monthloom.operators.forests as forests
+
+    rng = np.random.default_rng(7)
+    bins, label, weight = rng.integers(0, BINS, (16, 2000)).astype(np.uint8), rng.standard_normal(2000), np.ones(2000)
+    counted = []
+    monkeypatch.setattr(forests, "split_counts", lambda *h, f=forests.split_counts: counted.append(len(h[0])) or f(*h))
+    grow(bins, label, weight, 1, 4, 4, 0, 42)
+    assert len(counted) == 4 * 4 and sum(counted) <= 4 * (1 + 2 + 4 + 8)
+
+
 def test_bootstrap_weights():
     n = draws(np.arange(100000, dtype=np.uint64), 3, 42)
     assert abs(n.mean() - 1) < 0.02 and abs(n.var() - 1) < 0.03 and abs((n == 0).mean() - np.exp(-1)) < 0.01
