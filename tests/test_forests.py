@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from monthloom.operators.encode import assemble
-from monthloom.operators.forests import BINS, bin_edges, descend, draws, forest_votes, grow
+from monthloom.operators.forests import BINS, alike, bin_edges, descend, draws, forest_votes, grow
 from monthloom.operators.metrics import regression_metrics
 from monthloom.operators.models import ForestModel, evaluate_models, make_models
 from monthloom.operators.split import split_panel
@@ -125,3 +125,18 @@ def test_deep_forests_grow_in_tasks(spark, monkeypatch):
     got = {r["name"]: r["rmse"] for r in metrics.collect()}
     assert got["RF_20"] < 1.15 * plain and set(got) == {"RF_10", "RF_20", "PCA_5-RF_10", "PCA_5-RF_20"}
     assert all(rows(p.select("id")) == rows(val.select("id")) for p in predictions.values())
+
+
+def test_rows_with_the_same_bins_grow_as_one():
+    """Trees from one row for each set of equal bins are those from all rows."""
+    rng = np.random.default_rng(8)
+    bins, weight = rng.integers(0, 6, (2, 500)).astype(np.uint8), rng.integers(1, 4, 500).astype(float)
+    first, own = alike(bins)
+    assert len(first) == len({tuple(c) for c in bins.T}) and (bins[:, first][:, own] == bins).all()
+    for label in (rng.standard_normal(500), (rng.random(500) < 0.3) - 0.3):
+        w, y, yy = (np.bincount(own, x) for x in (weight, weight * label, weight * label ** 2))
+        one = grow(bins[:, first], y / w, w, 1, 30, 1, 0, 42, yy / w)
+        assert np.allclose(descend(one, bins), descend(grow(bins, label, weight, 1, 30, 1, 0, 42), bins))
+    assert alike(np.arange(64, dtype=np.uint8).reshape(2, 32) % BINS) is None  # no two alike
+    assert alike(np.zeros((13, 40), np.uint8)) is None  # too many features for one number
+    assert alike(np.zeros((2, 0), np.uint8)) is None
