@@ -14,3 +14,10 @@ def test_tasks_of_a_period_make_their_features_once(spark, sf_dir, monkeypatch):
     alone = learning_queries.vectors(spark, sf_dir, "regr_6")
     assert made == [6, 6] and rows(second) == rows(alone)
     assert second.schema["features"].metadata == alone.schema["features"].metadata
+
+
+def test_a_task_alone_stores_no_wide_features(spark, sf_dir, monkeypatch):
+    stored, store = [], learning_queries.cut_lineage
+    monkeypatch.setattr(learning_queries, "cut_lineage", lambda df, name: stored.append(name) or store(df, name))
+    learning_queries.vectors(spark, sf_dir, "clf_12")
+    assert stored == ["dataset-clf_12"]
