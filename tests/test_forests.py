@@ -140,3 +140,24 @@ def test_rows_with_the_same_bins_grow_as_one():
     assert alike(np.arange(64, dtype=np.uint8).reshape(2, 32) % BINS) is None  # no two alike
     assert alike(np.zeros((13, 40), np.uint8)) is None  # too many features for one number
     assert alike(np.zeros((2, 0), np.uint8)) is None
+
+
+def test_predicted_rows_do_not_pass_the_driver(spark, monkeypatch):
+    """Votes join their rows once a forest, whatever the number of models, and without a broadcast."""
+    import monthloom.operators.models as models
+
+    raw = cut_lineage(spark.range(200).select("id", *[F.rand(s).alias(f"x{s}") for s in range(3)], F.lit(0.0).alias("baseline")), "votes")
+    data = assemble(cut_lineage(split_panel(raw.withColumn("label", (F.col("x0") > 0.5).cast("double"))), "votes"), {})
+    plans = []
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return df
+    monkeypatch.setattr(models, "cut_lineage", lambda df, name, store=models.cut_lineage: store(plan(df), name))
+    predictions, metrics = evaluate_models(data, make_models(True, 3, pca=(None, 2), trees=(3, 5)), True)
+    for df in (*predictions.values(), metrics):
+        plan(df)
+    assert not any("Broadcast" in p for p in plans)
+    assert sum(p.count("SortMergeJoin") for p in plans) == 2  # one a forest
+    val = rows(data.where("split = 'val'").select("id", "split", "label", "baseline"))
+    assert all(rows(p.drop("pred")) == val and p.columns == ["id", "split", "label", "baseline", "pred"] for p in predictions.values())
