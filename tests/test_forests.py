@@ -10,7 +10,7 @@ from monthloom.operators.forests import BINS, alike, bin_edges, descend, draws,
 from monthloom.operators.metrics import regression_metrics
 from monthloom.operators.models import ForestModel, evaluate_models, make_models
 from monthloom.operators.split import split_panel
-from monthloom.sources.store import cut_lineage
+from monthloom.sources.store import cut_lineage, freed_shuffles
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +161,74 @@ def test_predicted_rows_do_not_pass_the_driver(spark, monkeypatch):
     assert sum(p.count("SortMergeJoin") for p in plans) == 2  # one a forest
     val = rows(data.where("split = 'val'").select("id", "split", "label", "baseline"))
     assert all(rows(p.drop("pred")) == val and p.columns == ["id", "split", "label", "baseline", "pred"] for p in predictions.values())
+
+
+def test_rows_are_not_copied_for_groups_of_trees(spark, table, monkeypatch):
+    """Each task reads the stored bins; what is shuffled are votes, not rows to learn from."""
+    import monthloom.operators.forests as forests
+
+    plans = {}
+
+    def store(df, name, own=forests.cut_lineage):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return own(df, name)
+    monkeypatch.setattr(forests, "cut_lineage", store)
+    forest_votes(table, [3, 30], 30, some, 42)
+    plan = plans["forest-votes"]
+    assert "Generate" not in plan and "InArrow" in plan
+    assert "hashpartitioning(row" in plan and plan.count("Exchange") == 1
+
+
+def test_copies_are_on_disk_for_a_round_of_trees(spark, table, monkeypatch):
+    """Rows of nodes that are split over tasks are dealt some trees at a time, and one table of sums is kept."""
+    import monthloom.operators.forests as forests
+
+    made, gone = [], []
+    monkeypatch.setattr(forests, "scratch_path", lambda s, name, own=forests.scratch_path: made.append(own(s, name)) or made[-1])
+    monkeypatch.setattr(forests, "remove", lambda s, path, own=forests.remove: gone.append(path) or own(s, path))
+    step = max(1, 3 * spark.sparkContext.defaultParallelism * 25 // 240)
+    parted = rows(forest_votes(table, [2, 3 * step], 30, some, 42, most=25))
+    assert len(made) == 3 and gone == made[:-1]
+    assert np.allclose(np.array(parted), np.array(rows(forest_votes(table, [2, 3 * step], 30, some, 42))))
+
+
+def test_parts_of_a_tree_grow_by_turns(monkeypatch):
+    """Subtrees grown one after another make the tree that grows level by level."""
+    import monthloom.operators.forests as forests
+
+    rng = np.random.default_rng(9)
+    bins, label, weight = rng.integers(0, BINS, (5, 3000)).astype(np.uint8), rng.standard_normal(3000), rng.integers(1, 4, 3000).astype(float)
+    for n_tried in (2, 5):
+        whole = descend(grow(bins, label, weight, 1, 30, n_tried, 0, 42), bins)
+        monkeypatch.setattr(forests, "PART", 100)
+        small, largest = [], forests._Sorter.__init__
+        monkeypatch.setattr(forests._Sorter, "__init__", lambda self, node, *x: small.append(len(node)) or largest(self, node, *x))
+        parted = descend(grow(bins, label, weight, 1, 30, n_tried, 0, 42), bins)
+        monkeypatch.undo()
+        assert np.allclose(whole, parted) and max(small) <= 100
+    key = np.arange(1000, dtype=np.uint64)
+    monkeypatch.setattr(forests, "PART", 7)
+    cut = draws(key, 3, 42)
+    monkeypatch.undo()
+    assert (cut == draws(key, 3, 42)).all()
+
+
+def test_shuffle_files_do_not_pile_up(spark):
+    """Inside, a stored table leaves no shuffle files; the setting is as before afterwards."""
+    import time
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, before = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), spark.conf.get(name, None)
+
+    def blocks():
+        found = disk.getAllBlocks()
+        return {str(found.apply(i)) for i in range(found.size())}
+    known = blocks()
+    with freed_shuffles(spark):
+        stored = cut_lineage(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "freed")
+        for _ in range(50):  # they go a moment later
+            left = {b for b in blocks() - known if b.startswith("shuffle")}
+            if not left:
+                break
+            time.sleep(0.2)
+    assert not left and stored.count() == 10 and spark.conf.get(name, None) == before
