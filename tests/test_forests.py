@@ -232,3 +232,28 @@ def test_shuffle_files_do_not_pile_up(spark):
                 break
             time.sleep(0.2)
     assert not left and stored.count() == 10 and spark.conf.get(name, None) == before
+
+
+def test_tables_made_on_the_way_are_removed(spark, monkeypatch):
+    """Components and bins go once the predictions are stored; those can still be read."""
+    import monthloom.operators.forests as forests
+    import monthloom.operators.models as models
+
+    raw = cut_lineage(spark.range(200).select("id", *[F.rand(s).alias(f"x{s}") for s in range(3)], F.lit(0.0).alias("baseline")), "votes")
+    data = assemble(cut_lineage(split_panel(raw.withColumn("label", (F.col("x0") > 0.5).cast("double"))), "votes"), {})
+    made = {}
+
+    def store(df, name, own=cut_lineage):
+        made.setdefault(name, []).append(own(df, name))
+        return made[name][-1]
+    for module in (forests, models):
+        monkeypatch.setattr(module, "cut_lineage", store)
+    predictions, metrics = evaluate_models(data, make_models(True, 3, pca=(2, 3), trees=(3, 5)), True)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(df):
+        path = root(df.inputFiles()[0])
+        return path.getFileSystem(conf).exists(path)
+    assert [sum(map(there, made[n])) for n in ("model-inputs", "forest-bins", "forest-predictions")] == [0, 0, 2]
+    assert metrics.count() == 4 and all(p.count() > 0 for p in predictions.values())
